@@ -1,3 +1,33 @@
 """SQL for the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from trellis.llm import line_dedup
+
+_LINES = r"""
+select doc_id, raw, trim(line, e' \t\n\x0b\f\r') as line
+from (select doc_id, unnest(string_split(text, e'\n')) as line, generate_subscripts(string_split(text, e'\n'), 1) - 1 as raw from documents where text is not null)
+where trim(line, e' \t\n\x0b\f\r') <> ''
+"""
+
+#: All windows of whole lines that reach the words with their last or their first line, by content; later ones go.
+OP1 = rf"""
+with l as materialized (select *, row_number() over (partition by doc_id order by raw) as i, len(regexp_split_to_array(line, '[\x20\x09-\x0D]+')) as n from ({_LINES})),
+c as materialized (select *, sum(n) over (partition by doc_id order by i) as e from l),
+f as (select a.doc_id, a.i, min(b.i) as z from c a join c b on a.doc_id = b.doc_id and b.i >= a.i and b.e - a.e + a.n >= {line_dedup.MIN_WORDS} group by all),
+g as (select b.doc_id, max(a.i) as i, b.i as z from c a join c b on a.doc_id = b.doc_id and b.i >= a.i and b.e - a.e + a.n >= {line_dedup.MIN_WORDS} group by b.doc_id, b.i),
+w as (select distinct * from (select * from f union all select doc_id, i, z from g)),
+k as materialized (select w.doc_id, w.i, w.z, string_agg(l.line, e'\n' order by l.i) as t from w join l on l.doc_id = w.doc_id and l.i between w.i and w.z group by all),
+late as (select doc_id, i, z from (select *, row_number() over (partition by t order by doc_id, i) as p from k) where p > 1),
+m as (select distinct late.doc_id, l.i from late join l on l.doc_id = late.doc_id and l.i between late.i and late.z),
+runs as (select doc_id, min(i) as a, max(i) as b from (select *, i - row_number() over (partition by doc_id order by i) as s from m) group by doc_id, s),
+x as (select r.doc_id, p.raw as a, q.raw + 1 as b from runs r join l p on p.doc_id = r.doc_id and p.i = r.a join l q on q.doc_id = r.doc_id and q.i = r.b),
+d as (select doc_id, list(struct_pack(a, b) order by a) as runs from x group by doc_id),
+o as (select documents.doc_id, text, string_split(text, e'\n') as ls, coalesce(runs, []) as runs from documents left join d on d.doc_id = documents.doc_id),
+t as (select doc_id, runs, case when len(runs) = 0 then text else array_to_string(list_filter(ls, (s, i) -> len(list_filter(runs, r -> r.a <= i - 1 and i - 1 < r.b)) = 0), e'\n') end as text from o)
+select doc_id, coalesce(list_sum(list_transform(runs, r -> r.b - r.a)), 0)::bigint as n_removed,
+  array_to_string(list_transform(runs, r -> r.a || '-' || r.b), ',') as removed, length(text)::bigint as n_chars_left, sha256(text) as text_sha256
+from t
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1}

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trellis.llm import decontaminate, near_dedup, packing, quality, warc
+from trellis.llm import decontaminate, line_dedup, near_dedup, packing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed lines as ranges `from-to` (to exclusive), and the digest of what is left."""
+    rows = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        F.aggregate("line_runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"]).alias("n_removed"),
+        F.array_join(F.transform("line_runs", lambda r: F.concat(r["a"].cast("string"), F.lit("-"), r["b"].cast("string"))), ",").alias("removed"),
+        F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -36,6 +48,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op7_quality": op7_quality,
