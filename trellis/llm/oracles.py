@@ -24,9 +24,9 @@ runs as (select doc_id, min(i) as a, max(i) as b from (select *, i - row_number(
 x as (select r.doc_id, p.raw as a, q.raw + 1 as b from runs r join l p on p.doc_id = r.doc_id and p.i = r.a join l q on q.doc_id = r.doc_id and q.i = r.b),
 d as (select doc_id, list(struct_pack(a, b) order by a) as runs from x group by doc_id),
 o as (select documents.doc_id, text, string_split(text, e'\n') as ls, coalesce(runs, []) as runs from documents left join d on d.doc_id = documents.doc_id),
-t as (select doc_id, runs, case when len(runs) = 0 then text else array_to_string(list_filter(ls, (s, i) -> len(list_filter(runs, r -> r.a <= i - 1 and i - 1 < r.b)) = 0), e'\n') end as text from o)
-select doc_id, coalesce(list_sum(list_transform(runs, r -> r.b - r.a)), 0)::bigint as n_removed,
-  array_to_string(list_transform(runs, r -> r.a || '-' || r.b), ',') as removed, length(text)::bigint as n_chars_left, sha256(text) as text_sha256
+t as (select doc_id, runs, case when len(runs) = 0 then text else array_to_string(list_filter(ls, lambda s, i: len(list_filter(runs, lambda r: r.a <= i - 1 and i - 1 < r.b)) = 0), e'\n') end as text from o)
+select doc_id, coalesce(list_sum(list_transform(runs, lambda r: r.b - r.a)), 0)::bigint as n_removed,
+  array_to_string(list_transform(runs, lambda r: r.a || '-' || r.b), ',') as removed, length(text)::bigint as n_chars_left, sha256(text) as text_sha256
 from t
 """
 
