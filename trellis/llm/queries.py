@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trellis.llm import decontaminate, line_dedup, near_dedup, packing, quality, warc
+from trellis.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")))
     base = F.col("failed").bitwiseAND(F.lit(quality.POLICIES["base"].mask)) != 0
@@ -47,11 +52,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.summarize(*pii.find_spans(_table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_ident",
+        F.sha2(pii.joined_spans("all", True), 256).alias("base_sha256"), pii.joined_spans("all", False).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
+    "op5_license_scan": op5_license_scan,
     "op7_quality": op7_quality,
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
 }
