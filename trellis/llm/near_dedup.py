@@ -131,9 +131,8 @@ class Linker:
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(nid, members) for the nodes in pairs, computed again from their texts."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(nid, members) for distinct nodes, computed again from their texts."""
         wanted = cut(self.nodes.select("nid", "first_id", "key").join(wanted, "nid", "left_semi"), "wanted")
         ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
         few = wanted.count() <= BROADCAST_IDS
@@ -158,7 +157,7 @@ class Linker:
         pairs = cut(pairs.select("a", "b"), "pairs")
         if not pairs.limit(1).count():
             return 0
-        sets, threshold = self.sets(pairs), self.threshold
+        sets, threshold = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()), self.threshold
         both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("nid").alias("b"), F.col("members").alias("mb")), "b")
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +178,21 @@ class Linker:
             self.labels = components(self.edges)
         return found
 
+    def alone(self, nodes: DataFrame) -> DataFrame:
+        """(nid, u): how many of a node's shingles none of the other nodes given holds. Nodes without any are absent."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for nid, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    values = np.frombuffer(members.as_buffer(), np.int64)
+                    for i in range(0, len(values), 65536):
+                        part = values[i : i + 65536]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), nid, np.int64)), pa.array(part)], names=["nid", "h"])
+
+        rows = self.sets(nodes).mapInArrow(task, "nid long, h long")
+        single = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("nid").alias("nid")).where("c = 1")
+        return cut(single.groupBy("nid").agg(F.count("*").alias("u")), "alone")
+
     def across(self, pairs: DataFrame) -> DataFrame:
         """The untested pairs whose ends lie in different components, with these."""
         if self.labels is not None:
@@ -247,10 +261,15 @@ def _strays(grouped: DataFrame, ends: DataFrame, linker: Linker, threshold: int)
         rows = rows.withColumn("component", F.col("nid"))
     parts = rows.groupBy("bucket", "component").count()
     main = parts.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    rows = cut(rows.join(main.select("bucket", F.col("top.component").alias("main")), "bucket").join(ends, "nid"), "apart")
-    left = rows.where("component <> main").toDF(*["a", "bucket", "ca", "main", "na", "sa"])
-    right = rows.toDF(*["b", "bucket", "cb", "main2", "nb", "sb"]).drop("main2")
-    pairs = left.join(right, "bucket").where("ca <> cb and (cb = main or ca < cb)").where(_fits(threshold))
+    rows = cut(rows.join(main.select("bucket", F.col("top.component").alias("main")), "bucket"), "apart")
+    nodes = cut(rows.select("nid").distinct(), "apart-nodes")
+    ends = ends.join(nodes, "nid", "left_semi").join(linker.alone(nodes), "nid", "left").withColumn("u", F.col("n") - F.coalesce("u", F.lit(0)))
+    rows = rows.join(cut(ends, "apart-ends"), "nid").select("nid", "bucket", "component", "main", "n", "sig", "u")
+    left = rows.where("component <> main").toDF(*["a", "bucket", "ca", "main", "na", "sa", "ua"])
+    right = rows.toDF(*["b", "bucket", "cb", "main2", "nb", "sb", "ub"]).drop("main2")
+    # Jaccard similarity t needs t / (1 + t) of both sizes together in common.
+    reach = (100 + threshold) * F.least("ua", "ub") >= threshold * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "bucket").where("ca <> cb and (cb = main or ca < cb)").where(_fits(threshold)).where(reach)
     pairs = pairs.withColumn("estimate", similarity("sa", "sb")).where(F.col("estimate") >= threshold / 100 - MARGIN)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate").distinct()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trellis.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, pii, quality, warc
+from trellis.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, pii, quality, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -62,6 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_license_scan": op5_license_scan,
