@@ -63,6 +63,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(c: Column) -> Column:
+    """The same value in a form that the optimizer takes for non-deterministic.
+
+    Filters on what is computed from it stay above the projection and are not rewritten in terms of its inputs, which
+    would evaluate a costly expression again, or for each element of a lambda."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from trellis.llm.common import WS, WS_CHARS, cut
+from trellis.llm.common import WS, WS_CHARS, cut, pinned
 
 MIN_WORDS = 30
 #: Documents with runs and runs, together, that are broadcast to the texts; more are joined by a shuffle.
@@ -33,7 +33,7 @@ BROADCAST_RUNS = 1_000_000
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, i, raw, line, n): the non-blank lines by gapless number i and place raw, with their numbers of words."""
     places = F.expr("filter(transform(split(text, '\n'), (l, k) -> named_struct('raw', cast(k as bigint), 'line', btrim(l, ws))), x -> x.line <> '')")
-    rows = docs.withColumn("ws", F.lit(WS_CHARS)).select("doc", F.posexplode(places).alias("i", "x"))
+    rows = docs.withColumn("ws", F.lit(WS_CHARS)).select("doc", pinned(places).alias("places")).select("doc", F.posexplode("places").alias("i", "x"))
     words = F.size(F.split("x.line", rf"[{WS}]+")).cast("long")
     line = F.struct(F.xxhash64("x.line"), F.xxhash64(F.lit(1), "x.line"), F.length("x.line"))
     return rows.select("doc", F.col("i").cast("long").alias("i"), "x.raw", line.alias("line"), words.alias("n"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trellis.llm.common import WS, WS_CHARS
+from trellis.llm.common import WS, WS_CHARS, pinned
 
 
 @dataclass(frozen=True)
@@ -83,9 +83,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Window hash above, position below, in one long: sorting primitive longs brings equal windows together.
     stage = stage.withColumn(
         "h",
-        F.expr(
-            "case when n_words < 4 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, size(w) - 3),"
-            " i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), s) | cast(i as bigint))) end"
+        pinned(
+            F.expr(
+                "case when n_words < 4 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, size(w) - 3),"
+                " i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), s) | cast(i as bigint))) end"
+            )
         ),
     )
     stage = stage.select("doc_id", "n_words", "word_chars", "n_symbols", "n_letters", "n_lines", "n_dup_lines", _repeated().alias("n_repeat_words"))
