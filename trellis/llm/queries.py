@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trellis.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, pii, quality, url_filter, warc
+from trellis.llm import decontaminate, license_scan, line_dedup, lm_score, near_dedup, packing, pii, quality, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")))
     base = F.col("failed").bitwiseAND(F.lit(quality.POLICIES["base"].mask)) != 0
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_license_scan": op5_license_scan,
+    "op6_lm_score": op6_lm_score,
     "op7_quality": op7_quality,
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
