@@ -7,9 +7,12 @@ threshold (by six standard deviations) are dropped and all others are confirmed
 
 Groups of any size cost linear work: equal sets are one node from the start; each bucket pairs its members with one
 pseudo-random leader, other in each bucket; a node first tries its most similar leader, then components that star
-pairs still join are tried, best pair first. Only what then shares a bucket in different components is compared
-pair by pair: strays of a bucket against its members, whose estimate alone is computed in the join. Two sets at the
-threshold share no bucket with a chance of 1.3e-7, and what shares one is never dropped untested.
+pairs still join are tried, best pair first. What then shares
+a bucket in different components is compared exactly: in small buckets as pairs whose estimate is computed in the
+join, around components with large buckets as blocks of at most some hundred sets, where a task counts all overlaps of
+two blocks as one matrix product and returns no more than the links that join components. Two sets at the threshold
+share no bucket with a chance of 1.3e-7, and what shares one is dropped only where the sizes or the estimate rule it
+out.
 
 Defined cases: null, empty or blank texts have the empty set and are linked with nothing; a text with fewer words
 than a shingle is one shingle; copies and repeated rows share a component; ties go to the smallest id; an empty
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,6 +36,8 @@ FIELDS, BITS = 128, 4
 MARGIN = 0.25
 #: Ids that a scan over texts may take as a broadcast (16 bytes each); beyond, the scan is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets in a block, and the size up to which a bucket's strays are paired in a join.
+BLOCK = 128
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(31)
 
@@ -171,28 +177,15 @@ class Linker:
 
         judged = cut(both.select("a", "b", "ma", "mb").mapInArrow(task, "a long, b long, linked boolean"), "judged")
         self.tested = judged.select("a", "b") if self.tested is None else self.tested.union(judged.select("a", "b"))
-        new = judged.where("linked").select("a", "b")
-        found = new.count()
+        return self.add(judged.where("linked").select("a", "b"))
+
+    def add(self, links: DataFrame) -> int:
+        found = links.count()
         if found:
-            self.edges = new if self.edges is None else self.edges.union(new)
+            self.edges = links if self.edges is None else self.edges.union(links)
             self.labels = components(self.edges)
         return found
 
-    def alone(self, nodes: DataFrame) -> DataFrame:
-        """(nid, u): how many of a node's shingles none of the other nodes given holds. Nodes without any are absent."""
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for nid, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    values = np.frombuffer(members.as_buffer(), np.int64)
-                    for i in range(0, len(values), 65536):
-                        part = values[i : i + 65536]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), nid, np.int64)), pa.array(part)], names=["nid", "h"])
-
-        rows = self.sets(nodes).mapInArrow(task, "nid long, h long")
-        single = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("nid").alias("nid")).where("c = 1")
-        return cut(single.groupBy("nid").agg(F.count("*").alias("u")), "alone")
-
     def across(self, pairs: DataFrame) -> DataFrame:
         """The untested pairs whose ends lie in different components, with these."""
         if self.labels is not None:
@@ -236,7 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nearest = each.groupBy("nid").agg(F.max(F.struct("estimate", "a", "b")).alias("m"))
     linker.confirm(nearest.select("m.a", "m.b").distinct())
     linker.settle(stars)
-    linker.settle(cut(_strays(grouped, ends, linker, threshold), "strays"))
+    apart = _apart(grouped, linker)
+    linker.settle(cut(_strays(apart.where(F.col("size") <= BLOCK), ends, threshold), "strays"))
+    _join_blocks(apart.where(F.col("size") > BLOCK), linker)
 
     named = nodes.select("key", "nid", "first_id")
     if linker.labels is None:
@@ -250,10 +245,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _strays(grouped: DataFrame, ends: DataFrame, linker: Linker, threshold: int) -> DataFrame:
-    """Pairs in buckets of three or more that stars didn't join: members outside the bucket's largest component
-    against all others. Two members are each other's star, so smaller buckets are done."""
-    rows = grouped.where("size > 2").select("bucket", "nid")
+def _apart(grouped: DataFrame, linker: Linker) -> DataFrame:
+    """(bucket, size, nid, component, main) of buckets of three or more that stars didn't join; main is the bucket's
+    largest component. Two members are each other's star, so smaller buckets are done."""
+    rows = grouped.where("size > 2").select("bucket", "size", "nid")
     if linker.labels is not None:
         rows = rows.join(linker.labels.select(F.col("node").alias("nid"), "component"), "nid", "left")
         rows = rows.withColumn("component", F.coalesce("component", "nid"))
@@ -261,19 +256,81 @@ def _strays(grouped: DataFrame, ends: DataFrame, linker: Linker, threshold: int)
         rows = rows.withColumn("component", F.col("nid"))
     parts = rows.groupBy("bucket", "component").count()
     main = parts.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    rows = cut(rows.join(main.select("bucket", F.col("top.component").alias("main")), "bucket"), "apart")
-    nodes = cut(rows.select("nid").distinct(), "apart-nodes")
-    ends = ends.join(nodes, "nid", "left_semi").join(linker.alone(nodes), "nid", "left").withColumn("u", F.col("n") - F.coalesce("u", F.lit(0)))
-    rows = rows.join(cut(ends, "apart-ends"), "nid").select("nid", "bucket", "component", "main", "n", "sig", "u")
-    left = rows.where("component <> main").toDF(*["a", "bucket", "ca", "main", "na", "sa", "ua"])
-    right = rows.toDF(*["b", "bucket", "cb", "main2", "nb", "sb", "ub"]).drop("main2")
-    # Jaccard similarity t needs t / (1 + t) of both sizes together in common.
-    reach = (100 + threshold) * F.least("ua", "ub") >= threshold * (F.col("na") + F.col("nb"))
-    pairs = left.join(right, "bucket").where("ca <> cb and (cb = main or ca < cb)").where(_fits(threshold)).where(reach)
+    rows = rows.join(main.select("bucket", F.col("top.component").alias("main")), "bucket")
+    return cut(rows.select("bucket", "size", "nid", "component", "main"), "apart")
+
+
+def _strays(apart: DataFrame, ends: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b, estimate) of members outside their bucket's main component with all others."""
+    rows = apart.join(ends, "nid").select("nid", "bucket", "component", "main", "n", "sig")
+    left = rows.where("component <> main").toDF(*["a", "bucket", "ca", "main", "na", "sa"])
+    right = rows.toDF(*["b", "bucket", "cb", "main2", "nb", "sb"]).drop("main2")
+    pairs = left.join(right, "bucket").where("ca <> cb and (cb = main or ca < cb)").where(_fits(threshold))
     pairs = pairs.withColumn("estimate", similarity("sa", "sb")).where(F.col("estimate") >= threshold / 100 - MARGIN)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate").distinct()
 
 
+def _join_blocks(apart: DataFrame, linker: Linker) -> None:
+    """Compare strays with all nodes of the large buckets around a main component, block by block, on full sets."""
+    nodes = cut(apart.select("main", "nid", "component").distinct(), "block-nodes")
+    if nodes.isEmpty():
+        return
+    stray = F.col("component") != F.col("main")
+    sizes = nodes.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(stray) / BLOCK).alias("stray_blocks"))
+    sizes = cut(sizes, "block-sizes")
+    nodes = nodes.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "main")
+    of = lambda n: F.pmod(F.xxhash64("nid"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = nodes.where(stray).withColumn("i", of(F.col("stray_blocks"))).withColumn("j", each(F.col("blocks"))).withColumn("is_left", F.lit(True))
+    right = nodes.where("stray_blocks > 0").withColumn("j", of(F.col("blocks"))).withColumn("i", each(F.col("stray_blocks"))).withColumn("is_left", F.lit(False))
+    rows = left.unionByName(right).select("main", "i", "j", "is_left", "nid", "component")
+    rows = rows.join(linker.sets(nodes.select("nid").distinct()), "nid").select("main", "i", "j", "is_left", "nid", "component", "members")
+    threshold = linker.threshold
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = block_links(
+            [np.frombuffer(m, np.uint64) for m in pdf["members"]], pdf["nid"].tolist(), pdf["component"].tolist(), pdf["is_left"].to_numpy(bool), threshold
+        )
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    linker.add(cut(rows.groupBy("main", "i", "j").applyInPandas(compare, "a long, b long"), "block-links"))
+
+
+def block_links(sets: list[np.ndarray], nids: list[int], home: list[int], is_left: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between left and right sets that join components (home): at most one fewer than there are components."""
+    sides = [np.flatnonzero(is_left), np.flatnonzero(~is_left)]
+    if not len(sides[0]) or not len(sides[1]):
+        return []
+    shared = np.intersect1d(*[np.concatenate([sets[k] for k in side]) for side in sides])
+    common = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    for at in range(0, len(shared), 8192):
+        part = shared[at : at + 8192]
+        held = []
+        for side in sides:
+            m = np.zeros((len(side), len(part)), np.float32)
+            for row, k in enumerate(side):
+                m[row, np.searchsorted(part, np.intersect1d(sets[k], part, assume_unique=True))] = 1
+            held.append(m)
+        common += held[0] @ held[1].T
+    n = np.array([len(x) for x in sets], np.float32)
+    linked = 100 * common >= threshold * (n[sides[0]][:, None] + n[sides[1]][None, :] - common)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for p, q in zip(*np.nonzero(linked), strict=True):
+        x, y = sides[0][p], sides[1][q]
+        c, d = find(home[x]), find(home[y])
+        if c != d:
+            root[max(c, d)] = min(c, d)
+            out.append((nids[x], nids[y]))
+    return out
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
     """The documents without later members of each group, with their own columns."""
     dropped = cut(near_duplicates(docs, id_col, text_col, width, threshold).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
