@@ -11,7 +11,6 @@ from trellis.plans import analytics, workloads
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 DEPTH = 4
-TERMS = "steel Brand#12, s1_ po"
 
 
 def _query(sql: str | None = None, recursive: bool = False):
@@ -233,9 +232,6 @@ def call_resolution(spark, sf_dir):
 
 # Context
 
-_TERMS = "(values ('steel'), ('brand'), ('s1_')) t(term)"
-
-
 @_query(
     ", terms as (select unnest(['steel', 'brand12', '_12']) as term), hits as (select file_id, 5.0::double as points from files, terms where contains(lower(path), term)"
     " union all select file_id, least(count(*), 3)::double from symbols, terms where contains(lower(name), term) group by file_id, term),"
@@ -348,9 +344,9 @@ def legend_folders(spark, sf_dir):
     return analytics.legend(rows, "folder")
 
 
-@_query(", hits as (select file_id from files where contains(lower(path), 'polished')) select path as file, max(matched) as matched from (select file_id, true as matched from hits union all select b, false from links join hits on a = file_id) x join files using (file_id) group by path")
+@_query(", hits as (select file_id from files where contains(lower(path), 'steel')) select path as file, max(matched) as matched from (select file_id, true as matched from hits union all select b, false from links join hits on a = file_id) x join files using (file_id) group by path")
 def search(spark, sf_dir):
-    return analytics.search(workloads.graph(spark, sf_dir), "Polished")
+    return analytics.search(workloads.graph(spark, sf_dir), "Steel")
 
 
 @_query(" select coalesce(o.path, n.path) as path, case when n.path is null then 'delete' when o.path is null then 'insert' else 'update' end as action from (select path, language from files where file_id % 10 <> 0) o full join (select path, case when file_id % 7 = 0 then 'x' else language end as language from files where file_id % 10 <> 1) n on o.path = n.path where o.path is null or n.path is null or o.language <> n.language")
