@@ -1,8 +1,10 @@
 """Language-model scoring: a causal self-attention model, trained in numpy on subword ids.
 
-One pass over the training documents counts words and subwords in each task (all of them; counts are added up in
-Spark) and takes one training window from each document. Subwords fall into classes by frequency: the commonest have
-their own, the others share classes of like frequency. The model predicts the next class from the classes before it
+A text is its words, each with one space before it, and an end; the white space as it stood is not modelled, as in the
+base score. One pass over the training documents counts words in each task (all of them; counts are added up in
+Spark) and takes one training window from each document. Each distinct word is cut into subwords once, which with its
+count gives the subwords' counts over the corpus. Subwords fall into classes by frequency: the commonest have their
+own, the others share classes of like frequency. The model predicts the next class from the classes before it
 through one block of masked attention; within a class a subword has its smoothed share of the class's counts. So the
 probabilities of all continuations add up to one. Training is data-parallel: in each round every task descends from
 the same parameters over its windows, and the results are averaged in Spark, weighted by windows.
@@ -34,23 +36,27 @@ from trellis.llm.packing import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, END = 50257, 50256
-OWN, SHARED = 95, 33  # classes of one subword (the end among them) and of many
+OWN, SHARED = 71, 25  # classes of one subword (the end among them) and of many
 CLASSES = OWN + SHARED
 WIDTH, OVERLAP = 48, 8
 DIM, HIDDEN = 16, 32
-ROUNDS, BATCH, RATE = 3, 32, 0.01
+ROUNDS, BATCH, RATE = 2, 32, 0.01
 WINDOWS_A_TASK = 8192
 TOP = 300_000
 SEED = 6
-_BIG = 96  # windows in one forward pass
+_BIG = 48  # windows in one forward pass
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
-def _lower(text: str | None) -> str:
-    return (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _joined(words: list[bytes]) -> str:
+    return b"".join([b" " + w for w in words]).decode("utf-8", "surrogatepass")
 
 
 # The model
@@ -98,6 +104,12 @@ def _norm_back(g: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     """x: (windows, WIDTH) classes -> logits and what the way back needs."""
+    y, rest = hidden(p, x)
+    return y @ p["out"] + p["bias"], rest
+
+
+def hidden(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
+    """What the output layer reads."""
     e = p["embed"][x] + p["place"]
     n, rn = _norm(e)
     q, k, v = n @ p["q"], n @ p["k"], n @ p["v"]
@@ -110,7 +122,7 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     u = np.maximum(m @ p["up"], 0)
     g = h + u @ p["down"]
     y, ry = _norm(g)
-    return y @ p["out"] + p["bias"], (x, n, rn, q, k, v, a, c, m, rm, u, y, ry)
+    return y, (x, n, rn, q, k, v, a, c, m, rm, u, y, ry)
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -189,14 +201,17 @@ class Model:
         if not texts:
             return total
         x, t, owner, begin = map(np.concatenate, (inputs, targets, owners, begins))
-        places = np.arange(WIDTH)
+        counted = (t >= 0) & (np.arange(WIDTH) >= begin[:, None])
+        x = np.maximum(x, 0)
         for at in range(0, len(x), _BIG):
-            z, _ = forward(p, np.maximum(x[at : at + _BIG], 0))
-            goal = t[at : at + _BIG]
-            hit = np.take_along_axis(z, np.maximum(goal, 0)[..., None], -1)[..., 0]
+            part = counted[at : at + _BIG]
+            goal = t[at : at + _BIG][part]
+            z = hidden(p, x[at : at + _BIG])[0][part] @ p["out"]
+            z += p["bias"]
+            hit = z[np.arange(len(goal)), goal]
             every = np.log(np.exp(z, out=z).sum(-1))
-            counted = (goal >= 0) & (places >= begin[at : at + _BIG, None])
-            np.add.at(total, owner[at : at + _BIG], ((hit - every) * counted).sum(-1, dtype=np.float64) / math.log(10))
+            of = np.broadcast_to(owner[at : at + _BIG, None], part.shape)[part]
+            total += np.bincount(of, (hit - every).astype(np.float64), len(total)) / math.log(10)
         return total
 
 
@@ -204,42 +219,63 @@ class Model:
 
 
 def _gather(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """kind 0: word counts, 1: subword counts, 2: training windows; from the training documents, one row set a task."""
+    """kind 0: word counts, the end under null; kind 1: training windows. From the training documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        words, subwords, windows, documents = Counter(), np.zeros(SIZE, np.int64), [], 0
+        counts, windows, documents = Counter(), [], 0
         schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64())])
 
-        def rows_of(kind, keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], schema=schema)
+        def rows_of(kind, keys, numbers):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64())], schema=schema)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if held_out(doc):
                     continue
-                text = _lower(text.as_py())
+                words = _words(text.as_py())
                 documents += 1
-                words.update(text.encode("utf-8", "surrogatepass").split())
-                ids = np.append(encode(text), np.uint32(END))
-                subwords += np.bincount(ids, minlength=SIZE)
-                at = zlib.crc32(ids[:64].tobytes()) % max(1, len(ids) - WIDTH + 1)  # anywhere in the text
-                windows.append((b"\1" if at == 0 else b"\0") + ids[max(0, at - 1) : at + WIDTH].astype("<u4").tobytes())
+                counts.update(words)
+                # Anywhere in the text; WIDTH words are WIDTH subwords at least. The last window holds the end.
+                at = zlib.crc32(b" ".join(words[:8])) % (max(0, len(words) - WIDTH // 2) + 1)
+                ids = encode(_joined(words[at : at + WIDTH]))
+                if at + WIDTH >= len(words):
+                    ids = np.append(ids, np.uint32(END))
+                windows.append((b"\1" if at == 0 else b"\0") + ids[: WIDTH + 1].astype("<u4").tobytes())
             if len(windows) > 20_000:
-                yield rows_of(2, windows, [0] * len(windows))
+                yield rows_of(1, windows, [0] * len(windows))
                 windows = []
-            if len(words) > 500_000:  # counts add up, so a full table can leave early
-                yield rows_of(0, list(words), list(words.values()))
-                words = Counter()
+            if len(counts) > 500_000:  # counts add up, so a full table can leave early
+                yield rows_of(0, list(counts), list(counts.values()))
+                counts = Counter()
         if documents:
-            yield rows_of(0, [*words, None], [*words.values(), documents])
-            used = np.flatnonzero(subwords)
-            yield rows_of(1, [int(i).to_bytes(4, "big") for i in used], subwords[used].tolist())
-            yield rows_of(2, windows, [0] * len(windows))
+            yield rows_of(0, [*counts, None], [*counts.values(), documents])
+            yield rows_of(1, windows, [0] * len(windows))
 
     return rows.mapInArrow(task, "kind int, key binary, n long")
 
 
+def subword_counts(words: DataFrame, vocabulary: str) -> np.ndarray:
+    """How often each subword stands in the words (key, c); the end is the null key. SIZE rows at most are collected."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary)
+        total = np.zeros(SIZE, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                keys, counts = batch.column(0)[at : at + 4096].to_pylist(), batch.column(1)[at : at + 4096].to_numpy()
+                cut_up = [np.array([END], np.uint32) if k is None else encode(" " + k.decode("utf-8", "surrogatepass")) for k in keys]
+                ids = np.concatenate(cut_up)
+                total += np.bincount(ids, np.repeat(counts, [len(x) for x in cut_up]), SIZE).astype(np.int64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
+
+    out = np.zeros(SIZE, np.int64)
+    for r in words.select("key", "c").mapInArrow(task, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return out
+
+
 def subword_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class of each id, its log10 share in it, counts of the classes): by falling count, then by id."""
     order = np.lexsort((np.arange(SIZE), -counts))
@@ -292,11 +328,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     tokens, types = words.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = words.where("key is null").select("c").first()
     ends = ends["c"] if ends else 0
-    subwords = np.zeros(SIZE, np.int64)
-    for r in gathered.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # SIZE rows at most
-        subwords[int.from_bytes(r["key"], "big")] = r["n"]
+    subwords = subword_counts(words, vocabulary)
     classes, shares, sums = subword_classes(subwords)
-    model = Model(train(gathered.where("kind = 2").select("key"), classes, sums), classes, shares)
+    model = Model(train(gathered.where("kind = 1").select("key"), classes, sums), classes, shares)
 
     common = words.where("key is not null").orderBy(F.desc("c"), "key").limit(top).toArrow()
     known = dict(zip(common.column("key").to_pylist(), np.log10(common.column("c").to_numpy() + 1.0).tolist(), strict=True))
@@ -311,25 +345,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                ids, out = [], {k: [] for k in ("row", "doc_id", "held_out", "n_tokens", "n_known", "part", "rare")}
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    text = _lower(text.as_py())
-                    ids.append(encode(text))
-                    counts = Counter(text.encode("utf-8", "surrogatepass").split())
-                    part, n, seen, rare = end_part, 1, int(ends > 0), []
-                    for word, tf in counts.items():
-                        n += tf
-                        value = known.get(word)
-                        if value is None:
-                            rare.append({"w": word, "n": tf})
-                        else:
-                            part += tf * value
-                            seen += tf
-                    for k, v in (("row", row), ("doc_id", doc), ("held_out", held_out(doc)), ("n_tokens", n), ("n_known", seen), ("part", part), ("rare", rare)):
-                        out[k].append(v)
-                    row += 1
-                out["score"] = model.score(ids)
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+                docs = batch.column(0).to_pylist()
+                ids, parts, tokens, seen, rare, times, ends_at = [], [], [], [], [], [], [0]
+                for text in batch.column(1):
+                    words = _words(text.as_py())
+                    ids.append(encode(_joined(words)))
+                    values = np.array(list(map(known.get, words)), np.float64)  # what isn't known is nan
+                    other = np.isnan(values)
+                    parts.append(end_part + float(values[~other].sum()))
+                    tokens.append(len(words) + 1)
+                    seen.append(len(words) - int(other.sum()) + int(ends > 0))
+                    counts = Counter([words[i] for i in np.flatnonzero(other).tolist()])
+                    rare += counts
+                    times += counts.values()
+                    ends_at.append(len(rare))
+                listed = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["w", "n"]))
+                arrays = [np.arange(row, row + len(docs)), docs, [held_out(d) for d in docs], tokens, seen, parts, listed, model.score(ids)]
+                row += len(docs)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
 
     schema = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("part", pa.float64()),
