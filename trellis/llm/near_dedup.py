@@ -199,9 +199,13 @@ class Linker:
 
     def settle(self, pairs: DataFrame) -> None:
         """Test pairs (a, b, estimate): the best for each two components first, then what is still apart."""
-        best = self.across(pairs).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("estimate", "a", "b")).alias("m"))
-        self.confirm(best.select("m.a", "m.b"))
-        self.confirm(self.across(pairs))
+        rest = cut(self.across(pairs), "across")
+        best = rest.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("estimate", "a", "b")).alias("m"))
+        if self.confirm(best.select("m.a", "m.b")):
+            rest = cut(self.across(rest.drop("ca", "cb")), "across")
+            self.confirm(rest)
+        else:
+            self.confirm(rest if self.tested is None else rest.join(self.tested, ["a", "b"], "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
