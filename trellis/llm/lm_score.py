@@ -25,6 +25,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ ROUNDS, BATCH, RATE = 2, 32, 0.01
 WINDOWS_A_TASK = 8192
 TOP = 300_000
 SEED = 6
-_BIG = 48  # windows in one forward pass
+_BIG = 96  # windows in one forward pass
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -125,6 +126,20 @@ def hidden(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     return y, (x, n, rn, q, k, v, a, c, m, rm, u, y, ry)
 
 
+def infer(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """hidden() in fewer passes: the attention's sums come with a column of ones among the values."""
+    e = p["embed"][x] + p["place"]
+    n = _norm(e)[0]
+    v = np.ones((*x.shape, DIM + 1), np.float32)
+    v[..., :DIM] = n @ p["v"]
+    a = (n @ (p["q"] * np.float32(1 / math.sqrt(DIM)))) @ (n @ p["k"]).transpose(0, 2, 1)
+    np.exp(a, out=a)
+    a *= _MASK
+    c = a @ v
+    h = e + (c[..., :DIM] / c[..., DIM:]) @ p["o"]
+    return _norm(h + np.maximum(_norm(h)[0] @ p["up"], 0) @ p["down"])[0]
+
+
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy (nats) over the masked targets, and its gradient."""
     z, (x, n, rn, q, k, v, a, c, m, rm, u, y, ry) = forward(p, x)
@@ -202,14 +217,13 @@ class Model:
             return total
         x, t, owner, begin = map(np.concatenate, (inputs, targets, owners, begins))
         counted = (t >= 0) & (np.arange(WIDTH) >= begin[:, None])
-        x = np.maximum(x, 0)
+        x, raised = np.maximum(x, 0), np.exp(p["bias"])
         for at in range(0, len(x), _BIG):
             part = counted[at : at + _BIG]
             goal = t[at : at + _BIG][part]
-            z = hidden(p, x[at : at + _BIG])[0][part] @ p["out"]
-            z += p["bias"]
-            hit = z[np.arange(len(goal)), goal]
-            every = np.log(np.exp(z, out=z).sum(-1))
+            z = infer(p, x[at : at + _BIG])[part] @ p["out"]
+            hit = z[np.arange(len(goal)), goal] + p["bias"][goal]
+            every = np.log(np.exp(z, out=z) @ raised)
             of = np.broadcast_to(owner[at : at + _BIG, None], part.shape)[part]
             total += np.bincount(of, (hit - every).astype(np.float64), len(total)) / math.log(10)
         return total
@@ -350,7 +364,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                 for text in batch.column(1):
                     words = _words(text.as_py())
                     ids.append(encode(_joined(words)))
-                    values = np.array(list(map(known.get, words)), np.float64)  # what isn't known is nan
+                    values = np.array(list(map(known.get, words, repeat(math.nan))), np.float64)
                     other = np.isnan(values)
                     parts.append(end_part + float(values[~other].sum()))
                     tokens.append(len(words) + 1)
