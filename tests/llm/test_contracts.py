@@ -145,11 +145,12 @@ def test_op7(spark, small):
     assert not any(r["kept"] for r in got if r["base_failed"])
 
 
-@pytest.mark.parametrize("block", [128, 2])
+@pytest.mark.parametrize("block", [128, 3])
 def test_op8(spark, small, block, monkeypatch):
     from trellis.llm import near_dedup
 
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PAIRED", min(block, near_dedup.PAIRED))
     sf, rows, *_ = small
     got = run(spark, "op8_near_dedup", sf)
     want = brute.groups([(r[0], r[1]) for r in rows])

@@ -2,55 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from trellis.operators import materialize
 
 #: ASCII white space as a Java character class body: space, tab, newline, vertical tab, form feed, carriage return.
 WS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not getattr(spark.sparkContext, "_trellis_scratch", None):
-        spark.sparkContext._trellis_scratch = "file://" + tempfile.mkdtemp(prefix="trellis-")
-    return spark.sparkContext._trellis_scratch
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder with the file system of its own scheme."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may have ended first
-        pass
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/trellis/{uuid.uuid4().hex}-{name}"
-    atexit.register(_remove_quietly, spark, path)
-    return path
+#: Rows that go to a Python worker at once while a step is written: whole texts, or two sets of shingles, each.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows as Parquet in the shared folder and go on from the files.
 
     The lineage ends there, so a lost executor costs no more than the tasks after this step."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        return materialize.cut(df, name)
+    finally:
+        conf.set(_BATCH, before)
 
 
 def ascii_lower(c: Column) -> Column:

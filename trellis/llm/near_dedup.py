@@ -37,7 +37,7 @@ MARGIN = 0.25
 #: Ids that a scan over texts may take as a broadcast (16 bytes each); beyond, the scan is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Sets in a block, and the size up to which a bucket's strays are paired in a join.
-BLOCK = 128
+BLOCK, PAIRED = 128, 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(31)
 
@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linker.confirm(nearest.select("m.a", "m.b").distinct())
     linker.settle(stars)
     apart = _apart(grouped, linker)
-    linker.settle(cut(_strays(apart.where(F.col("size") <= BLOCK), ends, threshold), "strays"))
-    _join_blocks(apart.where(F.col("size") > BLOCK), linker)
+    linker.settle(cut(_strays(apart.where(F.col("size") <= PAIRED), ends, threshold), "strays"))
+    _join_blocks(apart.where(F.col("size") > PAIRED), linker)
 
     named = nodes.select("key", "nid", "first_id")
     if linker.labels is None:

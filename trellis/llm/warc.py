@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trellis.llm.common import scratch_path
+from trellis.operators.materialize import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
