@@ -49,7 +49,8 @@ def guard_threshold(graph: CodeGraph, override: int | None = None) -> DataFrame:
     total = histogram.agg(F.sum("n").alias("total"))
     rows = histogram.withColumn("upto", upto).join(F.broadcast(total))
     at = rows.where(F.col("upto") > F.least(F.floor(F.col("total") * 9 / 10), F.col("total") - 1))
-    return at.agg(F.greatest(F.min("in_degree"), F.lit(GUARD_FLOOR)).alias("threshold")).select(F.coalesce("threshold", F.lit(2**63 - 1)).cast("long").alias("threshold"))
+    least = F.min("in_degree")
+    return at.agg(F.when(least.isNotNull(), F.greatest(least, F.lit(GUARD_FLOOR))).alias("threshold")).select(F.coalesce("threshold", F.lit(2**63 - 1)).cast("long").alias("threshold"))
 
 
 def guard_decisions(graph: CodeGraph, override: int | None = None, warned: DataFrame | None = None, block: bool = False) -> DataFrame:
