@@ -233,3 +233,16 @@ def test_pii_edges(spark):
     for d, t in rows:
         assert tuple(out[d][f"n_{k}"] for k in pii.PATTERNS) == brute.pii(t)[:4], d
     assert spans.columns == ["key", "kind", "start", "end"]
+
+
+def test_lookup_gives_each_words_subwords():
+    rng = random.Random(3)
+    pool = ["abc", "dé", "x'll", "123", "…", "\xa0", "a\xa0", "\xa0b", "the", "thebleou", "日本"]
+    held = [w.encode() for w in pool[::2]]
+    look = lm_score.Lookup(held, np.arange(len(held)), "byte_bpe_50k.json")
+    encode = packing.encoder("byte_bpe_50k.json")
+    assert lm_score.Lookup([], np.zeros(0), "byte_bpe_50k.json").subwords([b"abc"], np.array([-1])).tolist() == encode(" abc").tolist()
+    for _ in range(200):
+        words = [rng.choice(pool).encode() for _ in range(rng.randrange(12))]
+        want = [i for w in words for i in encode(" " + w.decode()).tolist()]
+        assert look.subwords(words, look.numbers(words)).tolist() == want

@@ -12,7 +12,7 @@ the same parameters over its windows, and the results are averaged in Spark, wei
 Scoring cuts a document into overlapping windows; each token is scored once, in a window where at least `OVERLAP`
 tokens stand before it (fewer only at the text's start). Windows of many documents go through the model in batches.
 
-The base score needs each word's count. The TOP most frequent words are broadcast (a fixed bound); a document's other
+The base score needs each word's count. The TOP most frequent words are broadcast with their subwords (a fixed bound); a document's other
 words leave the task as (word, occurrences) and meet their counts in an equi-join.
 
 Defined cases: a null or empty text is the end token alone; very long texts are more windows; repeated rows are
@@ -25,6 +25,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from trellis.llm.common import cut
-from trellis.llm.packing import encoder
+from trellis.llm.packing import _byte_letters, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, END = 50257, 50256
@@ -269,6 +270,62 @@ def _gather(rows: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(task, "kind int, key binary, n long")
 
 
+class Lookup:
+    """Frequent words by number, with their log10(count + 1) and subwords in one array; other words are encoded."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, vocabulary: str):
+        encode = encoder(vocabulary)
+        made = [encode(" " + w.decode("utf-8", "surrogatepass")) for w in words]
+        self.vocabulary, self.number = vocabulary, {w: i for i, w in enumerate(words)}
+        self.value = np.log10(counts + 1.0)
+        self.size = np.array([*(len(x) for x in made), 0], np.int64)  # the last stands for words that aren't held
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([*made, np.empty(0, np.uint32)]).astype(np.uint32)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """-1 for words that aren't held."""
+        return np.array(list(map(self.number.get, words, repeat(-1))), np.int64)
+
+    def subwords(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
+        """Each word's subwords, in the words' order; what isn't held is encoded together."""
+        other = numbers < 0
+        size, start, flat = self.size[numbers], self.start[numbers], self.flat
+        if other.any():
+            more, sizes = self._encode([words[i] for i in np.flatnonzero(other).tolist()])
+            size[other], start[other] = sizes, np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(words)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of]
+        if not other.any():
+            return flat[at]
+        new = other[of]
+        out = np.empty(len(of), np.uint32)
+        out[~new], out[new] = flat[at[~new]], more[at[new]]
+        return out
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        encode = encoder(self.vocabulary)
+        ids = encode(_joined(words))
+        first = np.flatnonzero(_begins_with_space(self.vocabulary)[ids])
+        if len(first) == len(words) and (not len(first) or first[0] == 0):  # so each word begins a subword
+            return ids, np.diff(first, append=len(ids))
+        made = [encode(_joined([w])) for w in words]
+        return np.concatenate(made), np.array([len(x) for x in made])
+
+
+@cache
+def _begins_with_space(vocabulary: str) -> np.ndarray:
+    """By subword id."""
+    import json
+
+    import public_tokenizers
+
+    with open(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    out = np.zeros(SIZE, bool)
+    out[[i for token, i in tokens.items() if token.startswith(_byte_letters()[0x20])]] = True
+    return out
+
+
 def subword_counts(words: DataFrame, vocabulary: str) -> np.ndarray:
     """How often each subword stands in the words (key, c); the end is the null key. SIZE rows at most are collected."""
 
@@ -347,13 +404,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     model = Model(train(gathered.where("kind = 1").select("key"), classes, sums), classes, shares)
 
     common = words.where("key is not null").orderBy(F.desc("c"), "key").limit(top).toArrow()
-    known = dict(zip(common.column("key").to_pylist(), np.log10(common.column("c").to_numpy() + 1.0).tolist(), strict=True))
+    known = Lookup(common.column("key").to_pylist(), common.column("c").to_numpy(), vocabulary)
     del common
     shared = spark.sparkContext.broadcast((model, known))
     end_part, below = math.log10(ends + 1), math.log10(tokens + types + 1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
         model, known = shared.value
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
@@ -363,10 +419,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                 ids, parts, tokens, seen, rare, times, ends_at = [], [], [], [], [], [], [0]
                 for text in batch.column(1):
                     words = _words(text.as_py())
-                    ids.append(encode(_joined(words)))
-                    values = np.array(list(map(known.get, words, repeat(math.nan))), np.float64)
-                    other = np.isnan(values)
-                    parts.append(end_part + float(values[~other].sum()))
+                    numbers = known.numbers(words)
+                    ids.append(known.subwords(words, numbers))
+                    other = numbers < 0
+                    parts.append(end_part + float(known.value[numbers[~other]].sum()))
                     tokens.append(len(words) + 1)
                     seen.append(len(words) - int(other.sum()) + int(ends > 0))
                     counts = Counter([words[i] for i in np.flatnonzero(other).tolist()])
