@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trellis.llm import line_dedup
+from trellis.llm import line_dedup, quality
 
 _LINES = r"""
 select doc_id, raw, trim(line, e' \t\n\x0b\f\r') as line
@@ -30,4 +30,54 @@ select doc_id, coalesce(list_sum(list_transform(runs, lambda r: r.b - r.a)), 0):
 from t
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1}
+_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TOKENS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+OP3 = rf"""
+with d as materialized (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+b as materialized (select item_id, {_WORDS.format("coalesce(text, '')")} as w from benchmark),
+s as (select item_id, w, least(10, len(w)) as n from b where len(w) > 0),
+q as materialized (select item_id, n, array_to_string(w[i:i + n - 1], ' ') as t from (select *, unnest(range(1, len(w) - n + 2)) as i from s)),
+sizes as (select distinct n from q),
+p as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as t from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+h as materialized (select doc_id, item_id, i, p.n from p join q on p.n = q.n and p.t = q.t),
+hit as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from h) group by 1),
+own as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items from (select distinct doc_id, item_id from h) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit on hit.doc_id = d.doc_id left join own on own.doc_id = d.doc_id
+"""
+
+_CONDITIONS = " + ".join(f"case when {r.fails} then {quality.BIT[r.name]} else 0 end" for r in quality.RULES)
+
+OP7 = rf"""
+with d as materialized (select doc_id, coalesce(text, '') as t, {_TOKENS.format("coalesce(text, '')")} as w from documents),
+g as (select doc_id, i, array_to_string(w[i:i + 2], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+r as (select doc_id, count(distinct k) as n from (select doc_id, unnest([i, i + 1, i + 2]) as k from (select *, count(*) over (partition by doc_id, t) as c from g) where c > 1) group by 1),
+l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, e'\n')) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+m as (select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+  length(regexp_replace(t, '[^\p{{L}}]', '', 'g'))::bigint as n_letters, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+  from d left join r on r.doc_id = d.doc_id left join l on l.doc_id = d.doc_id),
+f as (select *, ({_CONDITIONS})::bigint as failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {quality.POLICIES["base"].mask} <> 0 as base_failed, failed & {quality.POLICIES[quality.CURRENT].mask} = 0 as kept, failed from f
+"""
+
+OP8 = rf"""
+with recursive d as materialized (select doc_id, {_TOKENS.format(_LOW.format("coalesce(text, '')"))} as w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i:i + 1], ' ') as t from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from d where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+x as (select s.doc_id, n, t from s join n on n.doc_id = s.doc_id),
+e as materialized (select a, b from (select p.doc_id as a, q.doc_id as b, p.n + q.n as z, count(*) as c from x p join x q on p.t = q.t and p.doc_id <> q.doc_id and 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) group by all) where 100 * c >= 80 * (z - c)),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id, d.doc_id <= coalesce(m, d.doc_id) as kept
+from d left join n on n.doc_id = d.doc_id left join (select a, min(b) as m from r group by 1) k on k.a = d.doc_id
+"""
+
+OP9 = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first from p where n >= 100 group by 1)
+select page_id, n::bigint as payload_bytes, p.h as payload_digest, case when first < page_id and n >= 100 then 'revisit' else 'response' end as record_type, case when first < page_id and n >= 100 then first end as refers_to
+from p left join f on f.h = p.h
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op3_decontaminate": OP3, "op7_quality": OP7, "op8_near_dedup": OP8, "op9_warc": OP9}
