@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trellis.functions import paths
 from trellis.operators import kernels
-from trellis.plans import analytics, workloads
+from trellis.plans import analytics, sample_repo, workloads
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -344,9 +344,9 @@ def legend_folders(spark, sf_dir):
     return analytics.legend(rows, "folder")
 
 
-@_query(", hits as (select file_id from files where contains(lower(path), 'steel')) select path as file, max(matched) as matched from (select file_id, true as matched from hits union all select b, false from links join hits on a = file_id) x join files using (file_id) group by path")
+@_query(", hits as (select file_id from files where contains(lower(path), 'brand12')) select path as file, max(matched) as matched from (select file_id, true as matched from hits union all select b, false from links join hits on a = file_id) x join files using (file_id) group by path")
 def search(spark, sf_dir):
-    return analytics.search(workloads.graph(spark, sf_dir), "Steel")
+    return analytics.search(workloads.graph(spark, sf_dir), "BRAND12")
 
 
 @_query(" select coalesce(o.path, n.path) as path, case when n.path is null then 'delete' when o.path is null then 'insert' else 'update' end as action from (select path, language from files where file_id % 10 <> 0) o full join (select path, case when file_id % 7 = 0 then 'x' else language end as language from files where file_id % 10 <> 1) n on o.path = n.path where o.path is null or n.path is null or o.language <> n.language")
@@ -449,3 +449,40 @@ def incremental_plan(spark, sf_dir):
     walked = part.select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.when(F.expr("p_partkey % 5 = 0"), 0).otherwise(F.expr("p_partkey * 1000 + p_partkey % 3")).alias("mtime_ns"))
     cached = part.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("path"), (F.col("p_size") + F.expr("int(p_partkey % 11 = 0)")).alias("size"), F.expr("p_partkey * 1000 + 1").alias("mtime_ns"))
     return extract.plan_reuse(walked, cached).select("path", "action")
+
+
+# A tree of sources in all languages
+
+
+@_plain(sample_repo.values("path, name, kind, row", sample_repo.SYMBOLS))
+def repo_symbols(spark, sf_dir):
+    return sample_repo.symbols(spark)
+
+
+@_plain(sample_repo.values("file, target, confidence", sample_repo.IMPORTS))
+def repo_imports(spark, sf_dir):
+    return sample_repo.graph(spark)._edge_paths().select("file", "target", "confidence")
+
+
+@_plain(sample_repo.values("file, message", sample_repo.BROKEN))
+def repo_broken_imports(spark, sf_dir):
+    return sample_repo.graph(spark).broken_imports().select("file", "message")
+
+
+@_plain(sample_repo.values("caller, callee, confidence", sample_repo.CALLS))
+def repo_calls(spark, sf_dir):
+    g = sample_repo.graph(spark)
+    name = lambda c, n: g.symbols.select(F.col("symbol_id").alias(c), F.col("name").alias(n))
+    return g.calls.join(name("src", "caller"), "src").join(name("dst", "callee"), "dst").select("caller", "callee", "confidence")
+
+
+@_plain(sample_repo.values("language, file_count", sample_repo.LANGUAGES))
+def repo_languages(spark, sf_dir):
+    return sample_repo.graph(spark).language_stats()
+
+
+@_plain(sample_repo.values("language, place", [(n, i) for i, n in enumerate(("go", "python", "java", "csharp", "typescript", "rust", "kotlin", "ruby", "php", "c"))]))
+def languages(spark, sf_dir):
+    from trellis import lang
+
+    return spark.createDataFrame([(n, i) for i, n in enumerate(lang.names())], "language string, place int")
