@@ -11,6 +11,8 @@ the same parameters over its windows, and the results are averaged in Spark, wei
 
 Scoring cuts a document into overlapping windows; each token is scored once, in a window where at least `OVERLAP`
 tokens stand before it (fewer only at the text's start). Windows of many documents go through the model in batches.
+A word's probability is a fixed mixture of what attention gives its subwords and of its share in the corpus, both of
+which add up to one over words.
 
 The base score needs each word's count. The TOP most frequent words are broadcast with their subwords (a fixed bound); a document's other
 words leave the task as (word, occurrences) and meet their counts in an equi-join.
@@ -38,13 +40,15 @@ from trellis.llm.packing import _byte_letters, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, END = 50257, 50256
-OWN, SHARED = 71, 25  # classes of one subword (the end among them) and of many
+OWN, SHARED = 47, 17  # classes of one subword (the end among them) and of many
 CLASSES = OWN + SHARED
 WIDTH, OVERLAP = 48, 8
 DIM, HIDDEN = 16, 32
 ROUNDS, BATCH, RATE = 2, 32, 0.01
 WINDOWS_A_TASK = 8192
 TOP = 300_000
+#: The attention's part in the mixture with the words' shares.
+MIX = 0.1
 SEED = 6
 _BIG = 96  # windows in one forward pass
 
@@ -198,26 +202,27 @@ class Model:
     def __init__(self, flat: np.ndarray, classes: np.ndarray, shares: np.ndarray):
         self.flat, self.classes, self.shares = flat, classes, shares
 
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text, given as its subword ids without the end."""
-        p = unpack(self.flat)
-        total, inputs, targets, owners, begins = np.zeros(len(texts)), [], [], [], []
-        for i, ids in enumerate(texts):
-            ids = np.append(ids, END)
-            total[i] = self.shares[ids].sum()
-            c = self.classes[ids]
-            n = len(c)
+    def tokens(self, texts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each subword and end of the texts, one text after the other."""
+        if not texts:
+            return np.zeros(0)
+        p, inputs, targets, indices, begins, first = unpack(self.flat), [], [], [], [], 0
+        places = np.arange(WIDTH)
+        every_id = np.concatenate([x for ids in texts for x in (ids, [END])]).astype(np.int64)
+        for ids in texts:
+            n = len(ids) + 1
+            c = self.classes[every_id[first : first + n]]
             starts = np.arange(0, max(1, n - OVERLAP), WIDTH - OVERLAP)
             rows = np.full(starts[-1] + WIDTH + 1, -1, c.dtype)
             rows[0], rows[1 : n + 1] = CLASSES, c
-            inputs.append(rows[starts[:, None] + np.arange(WIDTH)])
-            targets.append(rows[starts[:, None] + np.arange(1, WIDTH + 1)])
-            owners.append(np.full(len(starts), i))
+            inputs.append(rows[starts[:, None] + places])
+            targets.append(rows[starts[:, None] + places + 1])
+            indices.append(first + starts)
             begins.append(np.where(starts > 0, OVERLAP, 0))
-        if not texts:
-            return total
-        x, t, owner, begin = map(np.concatenate, (inputs, targets, owners, begins))
-        counted = (t >= 0) & (np.arange(WIDTH) >= begin[:, None])
+            first += n
+        out = self.shares[every_id]
+        x, t, index, begin = map(np.concatenate, (inputs, targets, indices, begins))
+        counted = (t >= 0) & (places >= begin[:, None])
         x, raised = np.maximum(x, 0), np.exp(p["bias"])
         for at in range(0, len(x), _BIG):
             part = counted[at : at + _BIG]
@@ -225,9 +230,22 @@ class Model:
             z = infer(p, x[at : at + _BIG])[part] @ p["out"]
             hit = z[np.arange(len(goal)), goal] + p["bias"][goal]
             every = np.log(np.exp(z, out=z) @ raised)
-            of = np.broadcast_to(owner[at : at + _BIG, None], part.shape)[part]
-            total += np.bincount(of, (hit - every).astype(np.float64), len(total)) / math.log(10)
-        return total
+            out[(index[at : at + _BIG, None] + places)[part]] += (hit - every) / math.log(10)
+        return out
+
+    def score(self, texts: list[np.ndarray], sizes: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each text, given as its subword ids, the words' numbers of subwords, and log10 of the
+        words' shares; the end's share stands last."""
+        if not texts:
+            return np.zeros(0)
+        tokens = self.tokens(texts)
+        size = np.concatenate([x for s in sizes for x in (s, [1])])
+        share = np.concatenate(shares)
+        attention = np.add.reduceat(tokens, np.cumsum(size) - size)
+        high = np.maximum(attention, share)
+        mixed = high + np.log10(MIX * 10 ** (attention - high) + (1 - MIX) * 10 ** (share - high))
+        count = np.array([len(s) for s in shares])
+        return np.add.reduceat(mixed, np.cumsum(count) - count)
 
 
 # Gathering and scoring
@@ -277,7 +295,7 @@ class Lookup:
         encode = encoder(vocabulary)
         made = [encode(" " + w.decode("utf-8", "surrogatepass")) for w in words]
         self.vocabulary, self.number = vocabulary, {w: i for i, w in enumerate(words)}
-        self.value = np.log10(counts + 1.0)
+        self.value = np.append(np.log10(counts + 1.0), 0)
         self.size = np.array([*(len(x) for x in made), 0], np.int64)  # the last stands for words that aren't held
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.concatenate([*made, np.empty(0, np.uint32)]).astype(np.uint32)
@@ -286,8 +304,8 @@ class Lookup:
         """-1 for words that aren't held."""
         return np.array(list(map(self.number.get, words, repeat(-1))), np.int64)
 
-    def subwords(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
-        """Each word's subwords, in the words' order; what isn't held is encoded together."""
+    def subwords(self, words: list[bytes], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' subwords in order, and how many each has; what isn't held is encoded together."""
         other = numbers < 0
         size, start, flat = self.size[numbers], self.start[numbers], self.flat
         if other.any():
@@ -296,11 +314,11 @@ class Lookup:
         of = np.repeat(np.arange(len(words)), size)
         at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of]
         if not other.any():
-            return flat[at]
+            return flat[at], size
         new = other[of]
         out = np.empty(len(of), np.uint32)
         out[~new], out[new] = flat[at[~new]], more[at[new]]
-        return out
+        return out, size
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         encode = encoder(self.vocabulary)
@@ -416,13 +434,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 docs = batch.column(0).to_pylist()
-                ids, parts, tokens, seen, rare, times, ends_at = [], [], [], [], [], [], [0]
+                ids, sizes, shares, parts, tokens, seen, rare, times, ends_at = [], [], [], [], [], [], [], [], [0]
                 for text in batch.column(1):
                     words = _words(text.as_py())
                     numbers = known.numbers(words)
-                    ids.append(known.subwords(words, numbers))
                     other = numbers < 0
-                    parts.append(end_part + float(known.value[numbers[~other]].sum()))
+                    value = known.value[numbers]  # 0 for words that aren't held
+                    for held, made in zip((ids, sizes), known.subwords(words, numbers), strict=True):
+                        held.append(made)
+                    shares.append(np.append(value, end_part) - below)
+                    parts.append(end_part + float(value.sum()))
                     tokens.append(len(words) + 1)
                     seen.append(len(words) - int(other.sum()) + int(ends > 0))
                     counts = Counter([words[i] for i in np.flatnonzero(other).tolist()])
@@ -430,7 +451,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     times += counts.values()
                     ends_at.append(len(rare))
                 listed = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["w", "n"]))
-                arrays = [np.arange(row, row + len(docs)), docs, [held_out(d) for d in docs], tokens, seen, parts, listed, model.score(ids)]
+                arrays = [np.arange(row, row + len(docs)), docs, [held_out(d) for d in docs], tokens, seen, parts, listed, model.score(ids, sizes, shares)]
                 row += len(docs)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
 
