@@ -86,7 +86,7 @@ def confidence_counts(spark, sf_dir):
 
 @_query()
 def graph_stats(spark, sf_dir):
-    return workloads.graph(spark, sf_dir, True).graph_stats()
+    return workloads.graph(spark, sf_dir, True, every=1).graph_stats()
 
 
 # Neighbourhoods
@@ -168,7 +168,7 @@ def strong_components(spark, sf_dir):
 
 @_query()
 def import_cycles(spark, sf_dir):
-    rows = workloads.graph(spark, sf_dir).import_cycles()
+    rows = workloads.graph(spark, sf_dir, every=1).import_cycles()
     return rows.select(F.array_join("files", ",").alias("files"), F.array_join("path", ">").alias("path"), "size", "heuristic")
 
 
@@ -189,27 +189,27 @@ def cycle_sets(spark, sf_dir):
 
 @_query()
 def communities(spark, sf_dir):
-    return workloads.graph(spark, sf_dir).communities
+    return workloads.graph(spark, sf_dir, every=1).communities
 
 
 @_query()
 def hubs(spark, sf_dir):
-    return workloads.graph(spark, sf_dir).hubs()
+    return workloads.graph(spark, sf_dir, every=1).hubs()
 
 
 @_query()
 def community(spark, sf_dir):
-    return workloads.graph(spark, sf_dir).community(0)
+    return workloads.graph(spark, sf_dir, every=1).community(0)
 
 
 @_query()
 def graph_view_files(spark, sf_dir):
-    return workloads.graph(spark, sf_dir).graph_nodes().drop("symbol_kind")
+    return workloads.graph(spark, sf_dir, every=1).graph_nodes().drop("symbol_kind")
 
 
 @_query()
 def graph_view_symbols(spark, sf_dir):
-    return workloads.graph(spark, sf_dir, True).symbol_nodes()
+    return workloads.graph(spark, sf_dir, True, every=1).symbol_nodes()
 
 
 @_query(" select f.path as source, t.path as target, 'Import' as kind, confidence from imports join files f on f.file_id = src join files t on t.file_id = dst")
@@ -285,7 +285,7 @@ def context_files(spark, sf_dir):
 
 @_query()
 def context_markdown(spark, sf_dir):
-    g = workloads.graph(spark, sf_dir, True)
+    g = workloads.graph(spark, sf_dir, True, every=1)
     return g.context_markdown(g.context(query="steel brand"))
 
 
@@ -294,7 +294,7 @@ def context_markdown(spark, sf_dir):
 
 @_query()
 def audit(spark, sf_dir):
-    return analytics.audit(workloads.graph(spark, sf_dir))
+    return analytics.audit(workloads.graph(spark, sf_dir, every=1))
 
 
 @_query(" select file_id, path, coalesce(n, 0)::bigint as in_degree from files left join (select dst, count(*) as n from imports group by 1) on dst = file_id")
@@ -319,7 +319,7 @@ def guard_central(spark, sf_dir):
 
 @_query()
 def guard_decisions(spark, sf_dir):
-    return analytics.guard_decisions(workloads.graph(spark, sf_dir))
+    return analytics.guard_decisions(workloads.graph(spark, sf_dir, every=1))
 
 
 # Visual map
@@ -332,7 +332,7 @@ def viz_edges(spark, sf_dir):
 
 @_query()
 def viz_nodes(spark, sf_dir):
-    return analytics.viz_nodes(workloads.graph(spark, sf_dir)).drop("symbolKind")
+    return analytics.viz_nodes(workloads.graph(spark, sf_dir, every=1)).drop("symbolKind")
 
 
 @_query(
