@@ -202,6 +202,16 @@ def test_language_model_learns():
     assert before > math.log(7) - 0.3 and after < 0.7
 
 
+def test_language_model_score_depends_on_context(spark):
+    """Held-out text in the order of training scores above the same words shuffled."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"n{(i + k) % 7}" for k in range(120))) for i in range(150)]
+    rows += [(1000 + i, " ".join(f"n{rng.randrange(7)}" for _ in range(120))) for i in range(20)]
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = [d for d, _ in rows if lm_score.held_out(d) and d < 1000]
+    assert sum(out[d] for d in held) / len(held) > sum(out[1000 + i] for i in range(20)) / 20 + 0.05
+
+
 @pytest.mark.parametrize("size", [1, 7, 300, 5000, 1 << 20])
 def test_warc_ranges_own_each_record_once(spark, tmp_path, size):
     rng = random.Random(size)

@@ -11,8 +11,7 @@ the same parameters over its windows, and the results are averaged in Spark, wei
 
 Scoring cuts a document into overlapping windows; each token is scored once, in a window where at least `OVERLAP`
 tokens stand before it (fewer only at the text's start). Windows of many documents go through the model in batches.
-A word's probability is a fixed mixture of what attention gives its subwords and of its share in the corpus, both of
-which add up to one over words.
+The score is the sum of its tokens' log10 probabilities.
 
 The base score needs each word's count. The TOP most frequent words are broadcast with their subwords (a fixed bound); a document's other
 words leave the task as (word, occurrences) and meet their counts in an equi-join.
@@ -40,15 +39,15 @@ from trellis.llm.packing import _byte_letters, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, END = 50257, 50256
-OWN, SHARED = 47, 17  # classes of one subword (the end among them) and of many
+OWN, SHARED = 95, 33  # classes of one subword (the end among them) and of many
 CLASSES = OWN + SHARED
 WIDTH, OVERLAP = 48, 8
 DIM, HIDDEN = 16, 32
-ROUNDS, BATCH, RATE = 2, 32, 0.01
+ROUNDS, BATCH, RATE = 3, 32, 0.01
 WINDOWS_A_TASK = 8192
 TOP = 300_000
-#: The attention's part in the mixture with the words' shares.
-MIX = 0.1
+#: The attention's part in the score: all of it.
+MIX = 1.0
 SEED = 6
 _BIG = 96  # windows in one forward pass
 
@@ -233,19 +232,12 @@ class Model:
             out[(index[at : at + _BIG, None] + places)[part]] += (hit - every) / math.log(10)
         return out
 
-    def score(self, texts: list[np.ndarray], sizes: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text, given as its subword ids, the words' numbers of subwords, and log10 of the
-        words' shares; the end's share stands last."""
+    def score(self, texts: list[np.ndarray], sizes: list[np.ndarray] | None = None, shares: list[np.ndarray] | None = None) -> np.ndarray:
+        """log10 probability of each text, given as its subword ids; the words' sizes and shares don't enter."""
         if not texts:
             return np.zeros(0)
-        tokens = self.tokens(texts)
-        size = np.concatenate([x for s in sizes for x in (s, [1])])
-        share = np.concatenate(shares)
-        attention = np.add.reduceat(tokens, np.cumsum(size) - size)
-        high = np.maximum(attention, share)
-        mixed = high + np.log10(MIX * 10 ** (attention - high) + (1 - MIX) * 10 ** (share - high))
-        count = np.array([len(s) for s in shares])
-        return np.add.reduceat(mixed, np.cumsum(count) - count)
+        n = np.array([len(ids) + 1 for ids in texts])
+        return np.add.reduceat(self.tokens(texts), np.cumsum(n) - n)
 
 
 # Gathering and scoring
@@ -434,15 +426,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 docs = batch.column(0).to_pylist()
-                ids, sizes, shares, parts, tokens, seen, rare, times, ends_at = [], [], [], [], [], [], [], [], [0]
+                ids, parts, tokens, seen, rare, times, ends_at = [], [], [], [], [], [], [0]
                 for text in batch.column(1):
                     words = _words(text.as_py())
                     numbers = known.numbers(words)
                     other = numbers < 0
                     value = known.value[numbers]  # 0 for words that aren't held
-                    for held, made in zip((ids, sizes), known.subwords(words, numbers), strict=True):
-                        held.append(made)
-                    shares.append(np.append(value, end_part) - below)
+                    ids.append(known.subwords(words, numbers)[0])
                     parts.append(end_part + float(value.sum()))
                     tokens.append(len(words) + 1)
                     seen.append(len(words) - int(other.sum()) + int(ends > 0))
@@ -451,7 +441,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     times += counts.values()
                     ends_at.append(len(rare))
                 listed = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["w", "n"]))
-                arrays = [np.arange(row, row + len(docs)), docs, [held_out(d) for d in docs], tokens, seen, parts, listed, model.score(ids, sizes, shares)]
+                arrays = [np.arange(row, row + len(docs)), docs, [held_out(d) for d in docs], tokens, seen, parts, listed, model.score(ids)]
                 row += len(docs)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
 
