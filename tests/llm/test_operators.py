@@ -212,6 +212,16 @@ def test_language_model_score_depends_on_context(spark):
     assert sum(out[d] for d in held) / len(held) > sum(out[1000 + i] for i in range(20)) / 20 + 0.05
 
 
+def test_language_model_scores_alike_with_few_words_held(spark):
+    """The bound on broadcast words changes neither score: every training count enters both."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(60))) for i in range(60)], "doc_id long, text string")
+    few, all_ = ({r["doc_id"]: r for r in lm_score.score(docs, top=t).collect()} for t in (3, 1000))
+    for d, r in all_.items():
+        assert few[d]["n_known"] == r["n_known"] and abs(few[d]["base_score"] - r["base_score"]) < 1e-6
+        assert abs(few[d]["score"] - r["score"]) < 1e-6, d
+
+
 @pytest.mark.parametrize("size", [1, 7, 300, 5000, 1 << 20])
 def test_warc_ranges_own_each_record_once(spark, tmp_path, size):
     rng = random.Random(size)

@@ -14,7 +14,8 @@ tokens stand before it (fewer only at the text's start). Windows of many documen
 The score is the sum of its tokens' log10 probabilities.
 
 The base score needs each word's count. The TOP most frequent words are broadcast with their subwords (a fixed bound); a document's other
-words leave the task as (word, occurrences) and meet their counts in an equi-join.
+words leave the task as (word, occurrences) and meet their counts in an equi-join. The score reads subword counts only,
+which all training words enter, so the bound changes neither.
 
 Defined cases: a null or empty text is the end token alone; very long texts are more windows; repeated rows are
 scored and counted each; an empty table gives an empty result; a null id is in training (its text for the remainder
