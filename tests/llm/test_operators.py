@@ -212,6 +212,22 @@ def test_language_model_score_depends_on_context(spark):
     assert sum(out[d] for d in held) / len(held) > sum(out[1000 + i] for i in range(20)) / 20 + 0.05
 
 
+def test_language_model_trains_on_whole_texts(spark):
+    """A text's windows hold all its classes, and an order seen only behind a long opening is learned."""
+    classes = np.arange(500) % lm_score.CLASSES
+    made = [list(w) for w in lm_score.text_windows(classes)]
+    assert [c for w in made for c in w[1:]] == classes.tolist() and made[0][0] == lm_score.CLASSES
+    assert all(len(w) <= lm_score.WIDTH + 1 and w[0] == v[-1] for v, w in zip(made, made[1:]))
+    rng = random.Random(6)
+    noise = lambda: " ".join(f"n{rng.randrange(7)}" for _ in range(60))
+    cycle = lambda i: " ".join(f"n{(i + k) % 7}" for k in range(60))
+    opening = " ".join(["n0"] * 8)
+    rows = [(i, " ".join([opening, *(noise() for _ in range(20)), *(cycle(i) for _ in range(20))])) for i in range(40)]
+    a, b = [d for d in range(1000, 2000) if lm_score.held_out(d)][:2]
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_score.score(spark.createDataFrame([*rows, (a, cycle(0)), (b, noise())], "doc_id long, text string")).collect()}
+    assert out[a] > out[b] + 0.3
+
+
 def test_language_model_scores_alike_with_few_words_held(spark):
     """The bound on broadcast words changes neither score: every training count enters both."""
     rng = random.Random(5)

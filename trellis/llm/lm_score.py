@@ -2,12 +2,13 @@
 
 A text is its words, each with one space before it, and an end; the white space as it stood is not modelled, as in the
 base score. One pass over the training documents counts words in each task (all of them; counts are added up in
-Spark) and takes one training window from each document. Each distinct word is cut into subwords once, which with its
+Spark). Each distinct word is cut into subwords once, which with its
 count gives the subwords' counts over the corpus. Subwords fall into classes by frequency: the commonest have their
 own, the others share classes of like frequency. The model predicts the next class from the classes before it
 through one block of masked attention; within a class a subword has its smoothed share of the class's counts. So the
-probabilities of all continuations add up to one. Training is data-parallel: in each round every task descends from
-the same parameters over its windows, and the results are averaged in Spark, weighted by windows.
+probabilities of all continuations add up to one. A second pass cuts each training text into consecutive windows, in
+which each subword and the end is a target once. Training is data-parallel: in each round every task descends from
+the same parameters over its windows, WINDOWS_A_TASK at a time, and the results are averaged in Spark, weighted by windows.
 
 Scoring cuts a document into overlapping windows; each token is scored once, in a window where at least `OVERLAP`
 tokens stand before it (fewer only at the text's start). Windows of many documents go through the model in batches.
@@ -28,7 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -244,41 +245,53 @@ class Model:
 # Gathering and scoring
 
 
-def _gather(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """kind 0: word counts, the end under null; kind 1: training windows. From the training documents."""
+def _count(rows: DataFrame) -> DataFrame:
+    """Word counts of the training documents, the end under null; a word can have more rows than one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
-        counts, windows, documents = Counter(), [], 0
-        schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64())])
-
-        def rows_of(kind, keys, numbers):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64())], schema=schema)
-
+        counts, documents = Counter(), 0
+        schema = pa.schema([("key", pa.binary()), ("n", pa.int64())])
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if held_out(doc):
                     continue
-                words = _words(text.as_py())
                 documents += 1
-                counts.update(words)
-                # Anywhere in the text; WIDTH words are WIDTH subwords at least. The last window holds the end.
-                at = zlib.crc32(b" ".join(words[:8])) % (max(0, len(words) - WIDTH // 2) + 1)
-                ids = encode(_joined(words[at : at + WIDTH]))
-                if at + WIDTH >= len(words):
-                    ids = np.append(ids, np.uint32(END))
-                windows.append((b"\1" if at == 0 else b"\0") + ids[: WIDTH + 1].astype("<u4").tobytes())
-            if len(windows) > 20_000:
-                yield rows_of(1, windows, [0] * len(windows))
-                windows = []
+                counts.update(_words(text.as_py()))
             if len(counts) > 500_000:  # counts add up, so a full table can leave early
-                yield rows_of(0, list(counts), list(counts.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
                 counts = Counter()
         if documents:
-            yield rows_of(0, [*counts, None], [*counts.values(), documents])
-            yield rows_of(1, windows, [0] * len(windows))
+            yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.binary()), pa.array([*counts.values(), documents], pa.int64())], schema=schema)
+
+    return rows.mapInArrow(task, "key binary, n long")
 
-    return rows.mapInArrow(task, "kind int, key binary, n long")
+
+def text_windows(classes: np.ndarray) -> list[bytes]:
+    """Windows of WIDTH + 1 classes, a byte each, of a text's classes with the end's: each is a target in one of them."""
+    rows = np.append(CLASSES, classes).astype(np.uint8).tobytes()
+    return [rows[at : at + WIDTH + 1] for at in range(0, len(rows) - 1, WIDTH)]
+
+
+def _windows(rows: DataFrame, shared) -> DataFrame:
+    """Every training text's windows. shared: a broadcast of (Lookup, classes)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, classes = shared.value
+        out = []
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held_out(doc):
+                    continue
+                words = _words(text.as_py())
+                ids = known.subwords(words, known.numbers(words))[0]
+                out += text_windows(classes[np.append(ids, np.uint32(END))])
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["key"])
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["key"])
+
+    return rows.mapInArrow(task, "key binary")
 
 
 class Lookup:
@@ -372,7 +385,7 @@ def subword_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return classes, np.log10((counts + 1) / (sums + sizes)[classes]), sums
 
 
-def train(windows: DataFrame, classes: np.ndarray, sums: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def train(windows: DataFrame, sums: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Rounds of local descent from shared parameters and their average, weighted by windows."""
     spark = windows.sparkSession
     n = windows.count()
@@ -381,20 +394,20 @@ def train(windows: DataFrame, classes: np.ndarray, sums: np.ndarray, rounds: int
         return flat
     dealt = cut(windows.repartition(max(1, -(-n // WINDOWS_A_TASK))), "windows")
     for round_ in range(rounds):
-        shared = spark.sparkContext.broadcast((flat, classes))
+        shared = spark.sparkContext.broadcast(flat)
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
-            start, of = shared.value
-            keys = sorted(k for batch in batches for k in batch.column(0).to_pylist())
-            if not keys:
-                return
-            w = np.full((len(keys), WIDTH + 1), -1, np.int64)
-            for i, key in enumerate(keys):
-                ids = of[np.frombuffer(key, "<u4", offset=1)]
-                ids = np.append(CLASSES, ids)[: WIDTH + 1] if key[0] else ids[: WIDTH + 1]
-                w[i, : len(ids)] = ids
-            made = descend(start, w, round_)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(made), dtype=np.int32)), pa.array(made * len(w)), pa.array(np.full(len(made), len(w), np.int64))], names=["i", "v", "w"])
+            made, count, keys = shared.value, 0, []
+            for batch in chain(batches, [None]):  # the last is what is left
+                keys += batch.column(0).to_pylist() if batch is not None else []
+                while len(keys) >= WINDOWS_A_TASK or (batch is None and keys):
+                    now, keys = sorted(keys[:WINDOWS_A_TASK]), keys[WINDOWS_A_TASK:]
+                    w = np.full((len(now), WIDTH + 1), -1, np.int64)
+                    for i, key in enumerate(now):
+                        w[i, : len(key)] = np.frombuffer(key, np.uint8)
+                    made, count = descend(made, w, round_), count + len(now)
+            if count:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(made), dtype=np.int32)), pa.array(made * count), pa.array(np.full(len(made), count, np.int64))], names=["i", "v", "w"])
 
         parts = dealt.mapInArrow(task, "i int, v double, w long").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
         flat = np.round(np.array([r["v"] for r in sorted(parts.collect(), key=lambda r: r["i"])]), 7)
@@ -405,18 +418,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gathered = cut(_gather(rows, vocabulary), "gathered")
-    words = cut(gathered.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "words")
+    words = cut(_count(rows).groupBy("key").agg(F.sum("n").alias("c")), "words")
     tokens, types = words.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = words.where("key is null").select("c").first()
     ends = ends["c"] if ends else 0
     subwords = subword_counts(words, vocabulary)
     classes, shares, sums = subword_classes(subwords)
-    model = Model(train(gathered.where("kind = 1").select("key"), classes, sums), classes, shares)
-
     common = words.where("key is not null").orderBy(F.desc("c"), "key").limit(top).toArrow()
     known = Lookup(common.column("key").to_pylist(), common.column("c").to_numpy(), vocabulary)
     del common
+    held = spark.sparkContext.broadcast((known, classes))
+    model = Model(train(cut(_windows(rows, held), "texts"), sums), classes, shares)
     shared = spark.sparkContext.broadcast((model, known))
     end_part, below = math.log10(ends + 1), math.log10(tokens + types + 1)
 
