@@ -51,3 +51,21 @@ def test_queries_without_sql_read_all_orders(spark):
     sizes = {frozenset(m for m in to[n] if n in to.get(m, ())) for n in to if n in to[n]}
     got = registry.queries()["import_cycles"](spark, SF).where("size > 1").collect()
     assert sorted(r["size"] for r in got) == sorted(len(c) for c in sizes) and sizes
+
+
+def test_shortest_path_where_no_file_is_far(spark, tmp_path):
+    import duckdb
+
+    from trellis.plans import registry
+
+    con = duckdb.connect()
+    for name, rows, kinds in (
+        ("part", [(1, "A", "Brand#1", "x"), (2, "B", "Brand#1", "y")], "p_partkey long, p_type string, p_brand string, p_name string"),
+        ("lineitem", [(20, 1, 1, 1, "N"), (20, 2, 2, 1, "N")], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string"),
+        ("labels", [(0, 0)], "doc_id long, toxic long"),
+    ):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert con.execute(registry.oracle_sql()["shortest_path"]).fetchall() == []
+    got = registry.queries()["shortest_path"](spark, str(tmp_path))
+    assert sorted(got.columns) == ["file", "position"] and got.collect() == []

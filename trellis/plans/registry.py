@@ -147,6 +147,8 @@ def shortest_path(spark, sf_dir):
     g = workloads.graph(spark, sf_dir)
     start = _focus(g)
     far = kernels.shortest_paths(g.imports, g.file_id(start), depth=DEPTH).where(F.size("path") == DEPTH + 1).agg(F.max("node")).first()[0]
+    if far is None:  # no file is that far, so there is no path
+        return g.shortest_path(start, start).limit(0)
     return g.shortest_path(start, g.files.where(F.col("file_id") == far).first()["path"])
 
 
