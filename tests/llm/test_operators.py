@@ -163,6 +163,25 @@ def test_license_templates(spark):
         license_scan.similar_blocks(clash(spark, []), [("x", "y")] * 1001)
 
 
+def test_packing_finds_the_cheapest_sequence_with_room():
+    """Against a plain search over all sequences, with far more than 64 of them too full."""
+    rng = random.Random(7)
+    for lengths in ([700] * 100 + [600] * 70 + [400] * 60 + [330] * 120, [rng.randrange(1, 1024) for _ in range(1500)], [5, 2000, 1024, 1], []):
+        n = -(-sum(lengths) // 1024)
+        room, cost, want = [1024] * n, [0.0] * n, [[] for _ in range(n)]
+        if sum(lengths) % 1024:
+            room[-1] = sum(lengths) % 1024
+        for k in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            start, left = 0, lengths[k]
+            while left:
+                fits = [s for s in range(n) if room[s] >= left]
+                s = min(fits, key=lambda s: (cost[s], s)) if fits else max(range(n), key=lambda s: (room[s], -cost[s], -s))
+                part = min(left, room[s])
+                want[s].append((k, start, part))
+                room[s], cost[s], start, left = room[s] - part, cost[s] + packing.piece_cost(part), start + part, left - part
+        assert packing.pack_pool(lengths, 1024)[0] == want
+
+
 def test_language_model_gradients_and_normalization():
     rng = np.random.default_rng(0)
     flat = lm_score.initial(np.ones(lm_score.CLASSES))

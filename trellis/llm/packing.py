@@ -18,6 +18,7 @@ rows are packed each; an empty table gives no sequences; extra columns are not r
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -83,32 +84,47 @@ def pack_pool(lengths: list[int], capacity: int) -> tuple[list[list[tuple[int, i
     room = [capacity] * n
     if total % capacity:
         room[-1] = total % capacity
-    heap: list[tuple[float, int]] = [(0.0, s) for s in range(n)]  # by cost; full ones leave
+    size, none = 1 << capacity.bit_length(), (math.inf, -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(size)]  # (cost, sequence) by room; full ones leave
+    least = [none] * (2 * size)  # a tree over the rooms with the cheapest of each part
+
+    def changed(r: int) -> None:
+        i = r + size
+        least[i] = heaps[r][0] if heaps[r] else none
+        while i > 1:
+            i >>= 1
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    for s, r in enumerate(room):
+        heaps[r].append((0.0, s))  # in order, so a heap
+    for r in set(room):
+        changed(r)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
     for k in sorted(range(len(lengths)), key=lambda i: (-piece_cost(lengths[i]), i)):
         start, left = 0, lengths[k]
         while left:
-            passed, found = [], None
-            while heap:  # the cheapest with room for all of it
-                cost, s = heappop(heap)
-                if room[s] >= left:
-                    found = (cost, s)
-                    break
-                passed.append((cost, s))
-                if len(passed) >= 64:
-                    break
-            if found is None:  # else the roomiest of those passed takes a part
-                best = max(range(len(passed)), key=lambda i: (room[passed[i][1]], -i))
-                found = passed.pop(best)
-            for entry in passed:
-                heappush(heap, entry)
+            found, i = none, left + size
+            if left <= capacity:  # the cheapest with room for all of it
+                found = least[i]
+                while i > 1:
+                    if not i & 1:
+                        found = min(found, least[i + 1])
+                    i >>= 1
+            if found is none:  # else the roomiest takes a part
+                i = 1
+                while i < size:
+                    i = 2 * i + (least[2 * i + 1] is not none)
+                found = least[i]
             cost, s = found
-            size = min(left, room[s])
-            out[s].append((k, start, size))
-            room[s] -= size
-            start, left = start + size, left - size
+            heappop(heaps[room[s]])
+            changed(room[s])
+            part = min(left, room[s])
+            out[s].append((k, start, part))
+            room[s] -= part
+            start, left = start + part, left - part
             if room[s]:
-                heappush(heap, (cost + piece_cost(size), s))
+                heappush(heaps[room[s]], (cost + piece_cost(part), s))
+                changed(room[s])
     return out, [sum(x[2] for x in s) for s in out]
 
 
