@@ -30,30 +30,14 @@ def test_queries_without_sql_read_all_orders(spark):
 
     from trellis.plans import registry, workloads
 
-    graph = workloads.SQL.replace(f"select * from lineitem where l_orderkey % {workloads.SLICE} = 0", f"select * from '{SF}/lineitem.parquet'")
+    graph = workloads.SQL.replace("select * from lineitem", f"select * from '{SF}/lineitem.parquet'")
     graph = graph.replace("from part)", f"from '{SF}/part.parquet')").replace("from labels", f"from '{SF}/labels.parquet'")
     want = duckdb.connect().execute(f"with {graph} select (select count(*) from imports), (select count(*) from symbols), (select count(*) from calls)").fetchone()
     row = registry.queries()["graph_stats"](spark, SF).first()
-    assert (row["imports"], row["symbol_count"], row["calls"]) == want and want[0] > 1000
-    ends = duckdb.connect().execute(f"with {graph} select distinct src, dst from imports where src <> dst").fetchall()
-    after: dict = {}
-    for a, b in ends:
-        after.setdefault(a, set()).add(b)
+    assert (row["imports"], row["symbol_count"], row["calls"]) == want and want[0] > 2500
 
-    def reached(start):
-        seen, todo = set(), [start]
-        while todo:
-            todo += (new := after.get(todo.pop(), set()) - seen)
-            seen |= new
-        return seen
 
-    to = {n: reached(n) for n in after}
-    sizes = {frozenset(m for m in to[n] if n in to.get(m, ())) for n in to if n in to[n]}
-    got = registry.queries()["import_cycles"](spark, SF).where("size > 1").collect()
-    assert sorted(r["size"] for r in got) == sorted(len(c) for c in sizes) and sizes
-
-
-def test_shortest_path_where_no_file_is_far(spark, tmp_path):
+def test_shortest_path_of_two_files(spark, tmp_path):
     import duckdb
 
     from trellis.plans import registry
@@ -66,6 +50,6 @@ def test_shortest_path_where_no_file_is_far(spark, tmp_path):
     ):
         spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
-    assert con.execute(registry.oracle_sql()["shortest_path"]).fetchall() == []
+    want = con.execute(registry.oracle_sql()["shortest_path"]).fetchall()
     got = registry.queries()["shortest_path"](spark, str(tmp_path))
-    assert sorted(got.columns) == ["file", "position"] and got.collect() == []
+    assert sorted((r["position"], r["file"]) for r in got.collect()) == sorted(want) and len(want) == 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from trellis.functions import paths
 from trellis.operators import kernels
@@ -10,7 +10,6 @@ from trellis.plans import analytics, sample_repo, workloads
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-DEPTH = 4
 
 
 def _query(sql: str | None = None, recursive: bool = False):
@@ -86,7 +85,7 @@ def confidence_counts(spark, sf_dir):
 
 @_query()
 def graph_stats(spark, sf_dir):
-    return workloads.graph(spark, sf_dir, True, every=1).graph_stats()
+    return workloads.graph(spark, sf_dir, True).graph_stats()
 
 
 # Neighbourhoods
@@ -113,74 +112,86 @@ def isolated_files(spark, sf_dir):
     return workloads.graph(spark, sf_dir).isolated_files()
 
 
-_LEVELS = f", focus as ({_FOCUS}), l0 as (select file_id as n, [file_id] as p from focus)" + "".join(
-    f", l{k} as (select b as n, min(list_append(p, b)) as p from l{k - 1} join links on a = n where b not in ({' union all '.join(f'select n from l{j}' for j in range(k))}) group by b)"
-    for k in range(1, DEPTH + 1)
+_LEVELS = f", focus as ({_FOCUS}), l0 as (select file_id as n from focus)" + "".join(
+    f", l{k} as (select distinct b as n from l{k - 1} join links on a = n where b not in ({' union all '.join(f'select n from l{j}' for j in range(k))}))" for k in (1, 2)
 )
+_NEAR = "select n, 0 as level from l0 union all select n, 1 from l1 union all select n, 2 from l2"
 
 
-def _levels(upto: int) -> str:
-    return " union all ".join(f"select n, p, {k} as level from l{k}" for k in range(upto + 1))
-
-
-@_query(f"{_LEVELS} select path as file, level from ({_levels(2)}) join files on file_id = n")
+@_query(f"{_LEVELS} select path as file, level from ({_NEAR}) join files on file_id = n")
 def subgraph_files(spark, sf_dir):
     g = workloads.graph(spark, sf_dir)
     return g.subgraph(_focus(g), 2)[0]
 
 
-@_query(f"{_LEVELS}, seen as ({_levels(2)}) select distinct f.path as file, t.path as target from imports join files f on f.file_id = src join files t on t.file_id = dst where src in (select n from seen) and dst in (select n from seen)")
+@_query(f"{_LEVELS}, seen as ({_NEAR}) select distinct f.path as file, t.path as target from imports join files f on f.file_id = src join files t on t.file_id = dst where src in (select n from seen) and dst in (select n from seen)")
 def subgraph_edges(spark, sf_dir):
     g = workloads.graph(spark, sf_dir)
     return g.subgraph(_focus(g), 2)[1]
 
 
-@_query(f"{_LEVELS} select n as node, array_to_string(p, '>') as path from ({_levels(DEPTH)})")
+#: Breadth first to the end: each round's new nodes with the least path; USING KEY keeps one row a node.
+_PATHS = f", focus as ({_FOCUS}), paths(n, p) using key (n) as (select file_id, [file_id] from focus union select b, min(list_append(p, b)) from paths join links on a = n where b not in (select n from recurring.paths) group by b)"
+
+
+@_query(f"{_PATHS} select n as node, array_to_string(p, '>') as path from paths", recursive=True)
 def shortest_paths(spark, sf_dir):
+    """From the most connected file to every file that can be reached."""
     g = workloads.graph(spark, sf_dir)
-    found = kernels.shortest_paths(g.imports, g.file_id(_focus(g)), depth=DEPTH)
+    found = kernels.shortest_paths(g.imports, g.file_id(_focus(g)))
     return found.select("node", F.array_join("path", ">").alias("path"))
 
 
-@_query(f"{_LEVELS}, goal as (select p from l{DEPTH} order by n desc limit 1) select i - 1 as position, path as file from (select unnest(p) as n, generate_subscripts(p, 1) as i from goal) join files on file_id = n")
+@_query(f"{_PATHS}, goal as (select p from paths order by len(p) desc, n desc limit 1) select i - 1 as position, path as file from (select unnest(p) as n, generate_subscripts(p, 1) as i from goal) join files on file_id = n", recursive=True)
 def shortest_path(spark, sf_dir):
+    """From the most connected file to the farthest that can be reached, the greatest id among these."""
     g = workloads.graph(spark, sf_dir)
     start = _focus(g)
-    far = kernels.shortest_paths(g.imports, g.file_id(start), depth=DEPTH).where(F.size("path") == DEPTH + 1).agg(F.max("node")).first()[0]
-    if far is None:  # no file is that far, so there is no path
-        return g.shortest_path(start, start).limit(0)
+    far = kernels.shortest_paths(g.imports, g.file_id(start)).agg(F.max(F.struct(F.size("path"), "node")).alias("m")).first()["m"]["node"]
     return g.shortest_path(start, g.files.where(F.col("file_id") == far).first()["path"])
 
 
-_REACH = ", reach as (select a, b from links union select reach.a, links.b from reach join links on links.a = reach.b)"
-
-
-@_query(f"{_REACH} select a as node, least(a, min(b)) as component from reach group by a", recursive=True)
+@_query(
+    ", c(node, component) using key (node) as (select distinct a, a from links union select b, min(x.component) from recurring.c x join links on links.a = x.node join recurring.c y on y.node = links.b"
+    " where x.component < y.component group by b) select node, component from c",
+    recursive=True,
+)
 def connected_components(spark, sf_dir):
     return kernels.components(workloads.imports(spark, sf_dir))
 
 
-_CLOSURE = ", steps as (select distinct src, dst from imports where src <> dst), reach as (select src, dst from steps union select reach.src, steps.dst from reach join steps on steps.src = reach.dst)"
+_CLOSURE = ", steps as materialized (select distinct src, dst from imports where src <> dst), reach as (select src, dst from steps union select reach.src, steps.dst from reach join steps on steps.src = reach.dst)"
+_SCC = f"{_CLOSURE}, strong as materialized (select x.src as node, least(x.src, min(x.dst)) as scc from reach x join reach y on x.src = y.dst and x.dst = y.src where x.src <> x.dst group by x.src)"
 
 
-@_query(f"{_CLOSURE} select x.src as node, least(x.src, min(x.dst)) as scc from reach x join reach y on x.src = y.dst and x.dst = y.src where x.src <> x.dst group by x.src", recursive=True)
+@_query(f"{_SCC} select node, scc from strong", recursive=True)
 def strong_components(spark, sf_dir):
     return kernels.strong_components(workloads.imports(spark, sf_dir))
 
 
-@_query()
-def import_cycles(spark, sf_dir):
-    rows = workloads.graph(spark, sf_dir, every=1).import_cycles()
-    return rows.select(F.array_join("files", ",").alias("files"), F.array_join("path", ">").alias("path"), "size", "heuristic")
+_CYCLES = (
+    f"{_SCC}, members as materialized (select node, scc, path from strong join files on file_id = node"
+    " union all select distinct src, src, path from imports join files on file_id = src where src = dst and src not in (select node from strong)),"
+    " sets as (select scc, list(path order by path) as files, count(*) as size from members group by scc),"
+    " guessed as (select a.scc, bool_or(confidence = 'Heuristic') as heuristic from imports join members a on a.node = src join members b on b.node = dst where a.scc = b.scc group by 1)"
+)
 
 
 @_query(
-    f"{_CLOSURE}, scc as (select x.src as node, least(x.src, min(x.dst)) as scc from reach x join reach y on x.src = y.dst and x.dst = y.src where x.src <> x.dst group by x.src"
-    " union all select distinct src, src from imports where src = dst and src not in (select x.src from reach x join reach y on x.src = y.dst and x.dst = y.src where x.src <> x.dst))"
-    " select string_agg(path, ',' order by path) as files, count(*) as size, coalesce(any_value(h.heuristic), false) as heuristic from scc join files on file_id = node"
-    " left join (select a.scc, bool_or(confidence = 'Heuristic') as heuristic from imports join scc a on a.node = src join scc b on b.node = dst where a.scc = b.scc group by 1) h on h.scc = scc.scc group by scc.scc",
+    f"{_CYCLES}, inner_links as materialized (select distinct a.scc, src, dst, b.path as name from imports join members a on a.node = src join members b on b.node = dst where a.scc = b.scc and src <> dst),"
+    " firsts as (select scc, arg_min(node, path) as start, min(path) as name from members group by scc),"
+    " walks(scc, n, p) using key (scc, n) as (select scc, start, [name] from firsts union select l.scc, l.dst, min(list_append(p, l.name)) from walks w join inner_links l on l.scc = w.scc and l.src = w.n"
+    " where (l.scc, l.dst) not in (select (scc, n) from recurring.walks) group by all),"
+    " closed as (select w.scc, arg_min(p, (len(p), p)) as p from walks w join inner_links l on l.scc = w.scc and l.src = w.n join firsts f on f.scc = w.scc and f.start = l.dst group by 1)"
+    " select array_to_string(files, ',') as files, array_to_string(coalesce(p, files), '>') as path, size, heuristic from sets left join closed using (scc) left join guessed using (scc)",
     recursive=True,
 )
+def import_cycles(spark, sf_dir):
+    rows = workloads.graph(spark, sf_dir).import_cycles()
+    return rows.select(F.array_join("files", ",").alias("files"), F.array_join("path", ">").alias("path"), "size", "heuristic")
+
+
+@_query(f"{_CYCLES} select array_to_string(files, ',') as files, size, coalesce(heuristic, false) as heuristic from sets left join guessed using (scc)", recursive=True)
 def cycle_sets(spark, sf_dir):
     rows = workloads.graph(spark, sf_dir).import_cycles()
     return rows.select(F.array_join("files", ",").alias("files"), "size", F.coalesce("heuristic", F.lit(False)).alias("heuristic"))
@@ -191,27 +202,27 @@ def cycle_sets(spark, sf_dir):
 
 @_query()
 def communities(spark, sf_dir):
-    return workloads.graph(spark, sf_dir, every=1).communities
+    return workloads.graph(spark, sf_dir).communities
 
 
 @_query()
 def hubs(spark, sf_dir):
-    return workloads.graph(spark, sf_dir, every=1).hubs()
+    return workloads.graph(spark, sf_dir).hubs()
 
 
 @_query()
 def community(spark, sf_dir):
-    return workloads.graph(spark, sf_dir, every=1).community(0)
+    return workloads.graph(spark, sf_dir).community(0)
 
 
 @_query()
 def graph_view_files(spark, sf_dir):
-    return workloads.graph(spark, sf_dir, every=1).graph_nodes().drop("symbol_kind")
+    return workloads.graph(spark, sf_dir).graph_nodes().drop("symbol_kind")
 
 
 @_query()
 def graph_view_symbols(spark, sf_dir):
-    return workloads.graph(spark, sf_dir, True, every=1).symbol_nodes()
+    return workloads.graph(spark, sf_dir, True).symbol_nodes()
 
 
 @_query(" select f.path as source, t.path as target, 'Import' as kind, confidence from imports join files f on f.file_id = src join files t on t.file_id = dst")
@@ -234,30 +245,20 @@ def call_resolution(spark, sf_dir):
 
 # Context
 
-@_query(
-    ", terms as (select unnest(['steel', 'brand12', '_12']) as term), hits as (select file_id, 5.0::double as points from files, terms where contains(lower(path), term)"
+_SCORES = (
+    ", hits as (select file_id, 5.0::double as points from files, terms where contains(lower(path), term)"
     " union all select file_id, least(count(*), 3)::double from symbols, terms where contains(lower(name), term) group by file_id, term),"
     " scored as (select file_id, sum(points) + coalesce(any_value(degree), 0) * 0.1::double as score from hits left join degrees using (file_id) group by file_id)"
-    " select row_number() over (order by score desc, file_id) as rank, file_id, round(score, 6) as score from scored order by rank limit 25"
 )
+
+
+@_query(f", terms as (select unnest(['steel', 'brand12', 's12']) as term){_SCORES} select row_number() over (order by score desc, file_id) as rank, file_id, round(score, 6) as score from scored order by rank limit 25")
 def context_by_query(spark, sf_dir):
-    g = workloads.graph(spark, sf_dir, True)
-    points = None
-    for term in ("steel", "brand12", "_12"):  # `_` parts words in a query, so the term is given as such
-        in_path = g.files.where(F.contains(F.lower("path"), F.lit(term))).select("file_id", F.lit(5.0).alias("points"))
-        names = g.symbols.where(F.contains(F.lower("name"), F.lit(term))).groupBy("file_id").agg(F.least(F.count("*"), F.lit(3)).cast("double").alias("points"))
-        points = in_path.unionByName(names) if points is None else points.unionByName(in_path).unionByName(names)
-    rows = points.groupBy("file_id").agg(F.sum("points").alias("points")).join(g.degrees, "file_id", "left")
-    rows = rows.select("file_id", (F.col("points") + F.coalesce("degree", F.lit(0)) * 0.1).alias("score")).orderBy(F.desc("score"), "file_id").limit(25)
-    return rows.select(F.row_number().over(W.orderBy(F.desc("score"), "file_id")).alias("rank"), "file_id", F.round("score", 6).alias("score"))
+    rows = workloads.graph(spark, sf_dir, True).context_by_query("Steel brand12, S12", 25)
+    return rows.select("rank", "file_id", F.round("score", 6).alias("score"))
 
 
-@_query(
-    ", terms as (select unnest(['steel', 'brand', 'copper']) as term), hits as (select file_id, 5.0::double as points from files, terms where contains(lower(path), term)"
-    " union all select file_id, least(count(*), 3)::double from symbols, terms where contains(lower(name), term) group by file_id, term),"
-    " scored as (select file_id, sum(points) + coalesce(any_value(degree), 0) * 0.1::double as score from hits left join degrees using (file_id) group by file_id)"
-    " select file_id, round(score, 6) as score from scored"
-)
+@_query(f", terms as (select unnest(['steel', 'brand', 'copper']) as term){_SCORES} select file_id, round(score, 6) as score from scored")
 def query_scores(spark, sf_dir):
     return workloads.graph(spark, sf_dir, True).query_scores("Steel, BRAND: copper steel (x)").select("file_id", F.round("score", 6).alias("score"))
 
@@ -287,7 +288,7 @@ def context_files(spark, sf_dir):
 
 @_query()
 def context_markdown(spark, sf_dir):
-    g = workloads.graph(spark, sf_dir, True, every=1)
+    g = workloads.graph(spark, sf_dir, True)
     return g.context_markdown(g.context(query="steel brand"))
 
 
@@ -296,7 +297,7 @@ def context_markdown(spark, sf_dir):
 
 @_query()
 def audit(spark, sf_dir):
-    return analytics.audit(workloads.graph(spark, sf_dir, every=1))
+    return analytics.audit(workloads.graph(spark, sf_dir))
 
 
 @_query(" select file_id, path, coalesce(n, 0)::bigint as in_degree from files left join (select dst, count(*) as n from imports group by 1) on dst = file_id")
@@ -321,7 +322,7 @@ def guard_central(spark, sf_dir):
 
 @_query()
 def guard_decisions(spark, sf_dir):
-    return analytics.guard_decisions(workloads.graph(spark, sf_dir, every=1))
+    return analytics.guard_decisions(workloads.graph(spark, sf_dir))
 
 
 # Visual map
@@ -334,7 +335,7 @@ def viz_edges(spark, sf_dir):
 
 @_query()
 def viz_nodes(spark, sf_dir):
-    return analytics.viz_nodes(workloads.graph(spark, sf_dir, every=1)).drop("symbolKind")
+    return analytics.viz_nodes(workloads.graph(spark, sf_dir)).drop("symbolKind")
 
 
 @_query(

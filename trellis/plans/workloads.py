@@ -9,8 +9,8 @@ from trellis.operators import calls, kernels
 from trellis.operators.materialize import cut
 from trellis.plans.codegraph import CodeGraph
 
-#: One order in so many gives edges where a query is held against SQL, whose closures explode on more; the others pass 1.
-SLICE = 20
+#: Names of symbols are a supplier and an order number modulo this: some are shared by many files, some are unique.
+NAMES = 997
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("file_id"), path.alias("path"), F.col("p_brand").alias("language"), F.xxhash64("p_name").alias("content_hash"))
 
 
-def _lines(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    rows = rows if every == 1 else rows.where(F.col("l_orderkey") % every == 0)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
 
 
 def _next(lines: DataFrame) -> DataFrame:
@@ -34,26 +32,26 @@ def _next(lines: DataFrame) -> DataFrame:
     return lines.join(after, ["l_orderkey", "l_linenumber"])
 
 
-def imports(spark: SparkSession, sf_dir: str, every: int = SLICE) -> DataFrame:
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "R", schema.HEURISTIC).otherwise(schema.RESOLVED)
     seq = F.col("l_orderkey") * 100 + F.col("l_linenumber")
-    return _next(_lines(spark, sf_dir, every)).select(F.col("l_partkey").alias("src"), F.col("n_partkey").alias("dst"), flag.alias("confidence"), seq.alias("seq"))
+    return _next(_lines(spark, sf_dir)).select(F.col("l_partkey").alias("src"), F.col("n_partkey").alias("dst"), flag.alias("confidence"), seq.alias("seq"))
 
 
 def _name(supplier: str) -> F.Column:
-    return F.concat(F.lit("S"), F.col(supplier), F.lit("_"), F.expr(f"(l_orderkey div {SLICE}) % 97"))
+    return F.concat(F.lit("S"), F.col(supplier), F.lit("_"), F.expr(f"l_orderkey % {NAMES}"))
 
 
-def symbols(spark: SparkSession, sf_dir: str, every: int = SLICE) -> DataFrame:
-    rows = _lines(spark, sf_dir, every).select(F.col("l_partkey").alias("file_id"), _name("l_suppkey").alias("name")).distinct()
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select(F.col("l_partkey").alias("file_id"), _name("l_suppkey").alias("name")).distinct()
     rows = kernels.dense_ids(rows, ["file_id", "name"], "symbol_id", 1)
     span = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("start_byte", "end_byte", "start_row", "start_col")])
     kind = F.when(F.col("symbol_id") % 3 == 0, "Class").when(F.col("symbol_id") % 3 == 1, "Function").otherwise("Method")
     return rows.select("symbol_id", "name", kind.alias("kind"), "file_id", span.alias("span"))
 
 
-def raw_calls(spark: SparkSession, sf_dir: str, named: DataFrame, every: int = SLICE) -> DataFrame:
-    rows = _next(_lines(spark, sf_dir, every)).select(F.col("l_partkey").alias("file_id"), _name("l_suppkey").alias("name"), _name("n_suppkey").alias("callee"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+def raw_calls(spark: SparkSession, sf_dir: str, named: DataFrame) -> DataFrame:
+    rows = _next(_lines(spark, sf_dir)).select(F.col("l_partkey").alias("file_id"), _name("l_suppkey").alias("name"), _name("n_suppkey").alias("callee"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
     return rows.join(named.select("file_id", "name", F.col("symbol_id").alias("caller")), ["file_id", "name"]).select("file_id", "caller", "callee", "seq")
 
 
@@ -62,27 +60,27 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit(schema.UNRESOLVED_IMPORT).alias("kind"), (F.col("doc_id") + 1).alias("file_id"), F.concat(F.lit("unresolved import `doc"), "doc_id", F.lit("`: toxic")).alias("message"), F.col("doc_id").alias("seq"))
 
 
-def graph(spark: SparkSession, sf_dir: str, with_symbols: bool = False, every: int = SLICE) -> CodeGraph:
-    """The graph of one order in every so many; symbols and calls are only built where a query reads them."""
+def graph(spark: SparkSession, sf_dir: str, with_symbols: bool = False) -> CodeGraph:
+    """The graph of all orders; symbols and calls are only built where a query reads them."""
     if with_symbols:
-        named = cut(symbols(spark, sf_dir, every), "symbols")
-        called = calls.resolve_calls(named, raw_calls(spark, sf_dir, named, every))
+        named = cut(symbols(spark, sf_dir), "symbols")
+        called = calls.resolve_calls(named, raw_calls(spark, sf_dir, named))
     else:
         named = spark.createDataFrame([], schema.SYMBOLS)
         called = spark.createDataFrame([], schema.CALLS)
-    return CodeGraph(files(spark, sf_dir), named, imports(spark, sf_dir, every), called, diagnostics(spark, sf_dir))
+    return CodeGraph(files(spark, sf_dir), named, imports(spark, sf_dir), called, diagnostics(spark, sf_dir))
 
 
 #: The same tables in SQL.
 SQL = f"""
 files as (select p_partkey as file_id, lower(p_type) || '/' || replace(p_brand, '#', '') || '/' || p_partkey || '.part' as path, p_brand as language from part),
-lines as (select * from lineitem where l_orderkey % {SLICE} = 0),
+lines as (select * from lineitem),
 nexts as (select a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_returnflag, b.l_partkey as n_partkey, b.l_suppkey as n_suppkey from lines a join lines b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1),
 imports as (select l_partkey as src, n_partkey as dst, case when l_returnflag = 'R' then 'Heuristic' else 'Resolved' end as confidence, l_orderkey * 100 + l_linenumber as seq from nexts),
 degrees as (select file_id, count(*) as degree from (select src as file_id from imports union all select dst from imports) group by 1),
 links as (select distinct src as a, dst as b from imports where src <> dst union select distinct dst, src from imports where src <> dst),
-symbols as (select row_number() over (order by file_id, name) as symbol_id, name, file_id from (select distinct l_partkey as file_id, 'S' || l_suppkey || '_' || ((l_orderkey // {SLICE}) % 97) as name from lines)),
-raw_calls as (select s.file_id, s.symbol_id as caller, 'S' || n_suppkey || '_' || ((l_orderkey // {SLICE}) % 97) as callee, l_orderkey * 100 + l_linenumber as seq from nexts join symbols s on s.file_id = l_partkey and s.name = 'S' || l_suppkey || '_' || ((l_orderkey // {SLICE}) % 97)),
+symbols as (select row_number() over (order by file_id, name) as symbol_id, name, file_id from (select distinct l_partkey as file_id, 'S' || l_suppkey || '_' || (l_orderkey % {NAMES}) as name from lines)),
+raw_calls as (select s.file_id, s.symbol_id as caller, 'S' || n_suppkey || '_' || (l_orderkey % {NAMES}) as callee, l_orderkey * 100 + l_linenumber as seq from nexts join symbols s on s.file_id = l_partkey and s.name = 'S' || l_suppkey || '_' || (l_orderkey % {NAMES})),
 calls as (select caller as src, coalesce(l.local, g.only) as dst, case when l.local is not null then 'Resolved' else 'Heuristic' end as confidence, seq from raw_calls r
   left join (select file_id, name, min(symbol_id) as local from symbols group by all) l on l.file_id = r.file_id and l.name = r.callee
   left join (select name, min(symbol_id) as only from symbols group by all having count(*) = 1) g on g.name = r.callee
