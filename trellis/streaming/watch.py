@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from trellis.operators import materialize
 from trellis.sources import repo, store
 
 #: Folders whose changes are the tools' own.
@@ -71,18 +72,26 @@ def changes(spark: SparkSession, root: str) -> DataFrame:
 
 
 class LiveIndex:
-    """Rebuilds the graph for each batch of changes; version counts the rebuilds."""
+    """Rebuilds the graph for each batch of changes; version counts the rebuilds.
+
+    The files of the version before stay for those who still read it; older ones are deleted."""
 
     def __init__(self, spark: SparkSession, root: str, publish: Callable[["LiveIndex"], None] = lambda live: None):
         self.spark, self.root, self.publish = spark, root, publish
         self.version, self.graph, self.extractions = 0, None, None
+        self._steps: list[list[str]] = []
 
     def refresh(self, batch: DataFrame | None = None, batch_id: int | None = None) -> None:
         if batch is not None and batch.isEmpty():
             return
-        self.graph, self.extractions = store.index(self.spark, self.root, self.extractions)
-        self.version += 1
-        self.publish(self)
+        with materialize.recorded() as made:
+            self.graph, self.extractions = store.index(self.spark, self.root, self.extractions)
+            self.version += 1
+            self.publish(self)
+        self._steps.append(made)
+        while len(self._steps) > 2:
+            for path in self._steps.pop(0):
+                materialize.remove(self.spark, path)
 
     def start(self, checkpoint: str, interval: str = DEBOUNCE):
         return changes(self.spark, self.root).writeStream.foreachBatch(self.refresh).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
