@@ -178,3 +178,38 @@ def base_scores(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
     counts = Counter(w for d, ws in tokens.items() if not out(d) for w in ws)
     n, v = sum(counts.values()), len(counts)
     return {d: (out(d), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in tokens.items()}
+
+
+def ranks(pages: list[tuple[int, str, str]], good: set[str], bad: set[str], damping: float = 0.85) -> tuple[dict, dict]:
+    """Personalised PageRank of hosts and of the reversed links, by dense matrices until nothing changes."""
+    import numpy as np
+
+    links: dict[tuple[str, str], int] = {}
+    named = [(judge(url)[0], html) for _, url, html in pages]
+    for host, html in named:
+        for target in re.findall(r"//([^/?#\"'\s>]+)", html):
+            if target != host:
+                links[host, target] = links.get((host, target), 0) + 1
+    up = set()
+    for host, _ in named:
+        parts = host.split(".")
+        for k in range(len(parts) - 2):
+            up.add((".".join(parts[k:]), ".".join(parts[k + 1 :])))
+    for a, b in up | {(b, a) for a, b in up}:
+        links[a, b] = links.get((a, b), 0) + 1
+    hosts = sorted({h for x in links for h in x} | {h for h, _ in named})
+    at = {h: i for i, h in enumerate(hosts)}
+    out = []
+    for way, seeds in ((0, good), (1, bad)):
+        m = np.zeros((len(hosts), len(hosts)))
+        for (a, b), n in links.items():
+            m[(at[b], at[a]) if way == 0 else (at[a], at[b])] = n
+        sums = m.sum(0)
+        m = m / np.where(sums, sums, 1)
+        start = np.array([float(any(h == s or h.endswith("." + s) for s in seeds) and h in {x for x, _ in named}) for h in hosts])
+        start /= start.sum()
+        rank = start * (1 - damping)
+        for _ in range(400):
+            rank = damping * (m @ rank) + (1 - damping) * start
+        out.append(dict(zip(hosts, rank.tolist(), strict=True)))
+    return out[0], out[1]

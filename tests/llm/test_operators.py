@@ -58,6 +58,33 @@ def test_line_dedup_edits_texts(spark):
     assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 1, 2, 3, 5, 6] and left.columns == clash(spark, []).columns
 
 
+NAMES = ["doc_id", "text", "_runs", "_h", "_id", "_lines", "_g", "_left", "line_runs", "row", "runs", "doc", "h", "id", "lines", "a.b", "g", "_c0"]
+
+
+def test_stages_with_any_column_names(spark):
+    """Rows keep their own columns whatever these are called; an empty table stays empty."""
+    block = "\n".join(f"line {i} of some words that fill it up well enough" for i in range(12))
+    body = " ".join(f"word{i}x" for i in range(70))
+    rows = [(i, t, *[f"{c}{i}" for c in NAMES[2:]]) for i, t in enumerate([f"{body} a\n{block}", f"{block}\n{body} b", None, block, "é " * 60 + body + " " + " ".join(f"z{k}q" for k in range(60))])]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in NAMES))
+    items = spark.createDataFrame([(1, " ".join(f"z{k}q" for k in range(20, 40)))], "item_id long, text string")
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(docs)
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, runs_col="x.y").collect()}
+    assert {d: [tuple(x) for x in r["x.y"]] for d, r in out.items()} == {0: [], 1: [(0, 12)], 2: [], 3: [(0, 12)], 4: []}
+    assert all(out[x[0]][c] == v for x in rows for c, v in zip(NAMES, x) if c != "text")
+    stages = {
+        "quality": (quality.filter_documents, {4}), "lines": (line_dedup.clean_documents, {0, 1, 2, 4}), "near": (near_dedup.keep_one, {0, 2, 3, 4}),
+        "leaks": (lambda d: decontaminate.drop_contaminated(d, items), {0, 1, 2, 3}),
+    }
+    for name, (stage, kept) in stages.items():
+        left = stage(docs)
+        assert left.columns == NAMES, name
+        assert {r["doc_id"] for r in left.collect()} == kept, name
+        assert stage(docs.limit(0)).count() == 0, name
+    assert packing.pack(docs).select("doc_id").distinct().count() == 5
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup_on_random_texts(spark, seed):
     rng = random.Random(seed)
@@ -90,6 +117,15 @@ def test_near_duplicates_on_random_groups(spark, width, threshold):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in brute.groups(rows[:-1], width, threshold).items() if d == c}
 
 
+def test_near_duplicates_without_ids(spark):
+    """Null ids are linked by their texts: they go where an id is in the component, and stay under none where none is."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, base), (4, base + " x"), (None, base + " x"), (None, "q " + base.replace("w", "v")), (None, base.replace("w", "v")), (None, None), (7, "other words here")]
+    out = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(clash(spark, rows)).collect()))
+    assert out == [(0, 0, True)] * 3 + [(0, 4, False)] * 2 + [(4, 4, True), (7, 7, True)]
+    assert sorted(r["text"] or "" for r in near_dedup.keep_one(clash(spark, rows)).collect()) == sorted([base + " x", rows[3][1], rows[4][1], "", "other words here"])
+
+
 def test_similarity_estimate(spark):
     base = near_dedup.shingles(" ".join(map(str, range(2000))), 1)
     for share in (0.0, 0.5, 0.8, 1.0):
@@ -100,19 +136,31 @@ def test_similarity_estimate(spark):
         assert abs(row.select(near_dedup.similarity("p", "q")).first()[0] - share) < 0.15
 
 
-def test_decontaminate_blocks_and_filter(spark):
+def test_decontaminate_windows_and_filter(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(40)]
-    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for i in range(30)] + [(None, None)]
-    items = [(i, " ".join(docs[i][1].split()[3:9])) for i in range(12)] + [(50, "w1"), (51, None)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for i in range(30)] + [(None, None), (None, "w1")]
+    docs[5] = (5, " ".join(docs[0][1].split()[:20] * 300))
+    items = [(i, " ".join(docs[i][1].split()[3:9])) for i in range(12)] + [(50, "w1"), (51, None), (None, "w2 w3"), (52, "never seen here at all")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    for block in (200_000, 3):
-        rows = decontaminate.find_leaks(clash(spark, docs), table, window=4, block_windows=block).collect()
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), decontaminate.digest(r["items"]), r["contaminated"]) for r in rows}
-        assert got == {d: brute.leaks(t, items, 4) for d, t in docs}
+    named = [x for x in items if x[0] is not None]
+    for hot in (1000, 1_000_000):  # the latter salts every token
+        rows = decontaminate.find_leaks(clash(spark, docs), table, window=4, hot_parts=hot).collect()
+        for r, (d, t) in zip(sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_words"])), docs, strict=True):
+            want, by_name = brute.leaks(t, items, 4), brute.leaks(t, named, 4)
+            assert (r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), decontaminate.digest(r["items"]), r["contaminated"]) == (d, *want[:2], *by_name[2:4], want[4])
     left = decontaminate.drop_contaminated(clash(spark, docs), table.where("item_id = 50"))
     assert left.columns == clash(spark, []).columns
-    assert {r["doc_id"] for r in left.collect()} == {d for d, t in docs if "w1" not in (t or "").split()}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == sorted((d is None, d or 0) for d, t in docs if "w1" not in (t or "").split())
+
+
+def test_decontaminate_filter_that_is_full(spark, monkeypatch):
+    """With every token passing the filter the join alone decides."""
+    monkeypatch.setattr(decontaminate.Filter, "passes", lambda self, tokens: np.ones(len(tokens), bool))
+    docs = [(i, f"a b c d e f g h i j {i} l m n") for i in range(5)] + [(9, "a c e g i k")]
+    items = [(1, "z a b c d e f g h i j 3 l"), (2, "k")]
+    out = decontaminate.find_leaks(clash(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in out} == {**{i: (10, [1]) for i in range(5)}, 3: (12, [1]), 9: (1, [2])}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -268,7 +316,10 @@ def test_warc_ranges_own_each_record_once(spark, tmp_path, size):
     assert files.agg(F.sum("records")).first()[0] == len(rows)
     if size == 1 and files.agg(F.sum("bytes")).first()[0] > 40000:
         files = files.limit(0)  # a range a byte is only for small files
-    got = warc.read(spark, folder, files, size, payloads=True).collect()
+    read = warc.read(spark, folder, files, size, payloads=True)
+    ranges = sum(max(1, -(-r["bytes"] // size)) for r in files.collect())
+    assert read.rdd.getNumPartitions() == max(1, min(ranges, 2 * spark.sparkContext.defaultParallelism), -(-ranges // warc.RANGES_A_TASK))
+    got = read.collect()
     if size > 1:
         assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got} == brute.warc_rows([(i, h) for i, _, h in rows])
         assert len(got) == len(rows)
@@ -284,6 +335,39 @@ def test_url_propagation(spark):
     assert out[2]["trust"] > 0 and out[4]["distrust"] > 0 and out[2]["distrust"] == 0
 
 
+def test_url_propagation_against_a_dense_power_iteration(spark):
+    """Ranks and verdicts of all hosts, on a chain that is far longer than a few rounds and on random links."""
+    rng = random.Random(12)
+    hosts = [f"h{i}.net" for i in range(60)] + ["a.h3.net", "b.a.h3.net", "seed.com", "bad.com"]
+    pages = [(i, f"http://{h}/", "".join(f'<a href="http://{rng.choice(hosts)}/x">' for _ in range(rng.randrange(3)))) for i, h in enumerate(hosts) for _ in range(2)]
+    chain = ["seed.com", *[f"c{i}.org" for i in range(30)]]
+    pages += [(500 + i, f"http://{a}/", f'<a href="http://{b}/">') for i, (a, b) in enumerate(zip(chain, chain[1:]))]
+    back = ["bad.com", *[f"d{i}.org" for i in range(30)]]
+    pages += [(700 + i, f"http://{b}/", f'<a href="http://{a}/">') for i, (a, b) in enumerate(zip(back, back[1:]))]
+    rules = (url_filter.Rule("seed.com/", "allow"), url_filter.Rule("bad.com/", "block"), url_filter.Rule("h7.net/", "block"))
+    out = {r["host"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules=rules).collect()}
+    trust, distrust = brute.ranks(pages, {"seed.com"}, {"bad.com", "h7.net"})
+    assert out["c28.org"]["trust"] > 0 and out["d29.org"]["verdict"] == "block"
+    for h, r in out.items():
+        assert abs(r["trust"] - trust[h]) < 1e-4 and abs(r["distrust"] - distrust[h]) < 1e-4, h
+        if r["rule"] is None and abs(distrust[h] - 0.8 * (trust[h] + distrust[h])) > 1e-4:
+            assert r["verdict"] == ("block" if distrust[h] > 0.8 * (trust[h] + distrust[h]) else "allow"), h
+
+
+def test_url_filter_with_clashing_columns(spark):
+    rows = [(1, "http://x.com/en/1", None, "h", "r", 1, "t"), (2, None, "<a href=//y.z>", "h", "r", 1, "t")]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, rule string, n long, `a.b` string")).collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out} == {1: ("x.com", "/en/1", "com/en/", "block"), 2: ("", "", None, "allow")}
+
+
+def test_joining_hot_groups(spark):
+    rows = common.cut(spark.range(3000).selectExpr("if(id < 1000, -1, id div 3) as k", "id"), "rows")
+    groups = common.cut(rows.groupBy("k").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("k <> 400"), "groups")
+    want = sorted((r["k"], r["id"], r["first"]) for r in rows.join(groups, "k").collect())
+    for parts in (1, 10, 1000):
+        assert sorted((r["k"], r["id"], r["first"]) for r in common.join_groups(rows, groups, ["k"], "c", parts).collect()) == want
+
+
 def test_pii_edges(spark):
     rows = [(1, "a@b.c" * 3), (2, "1" * 30000), (3, "x" * 50000 + "@"), (4, ("12 " * 20000)), (5, "+1 2345678" * 2), (6, "1.2.3.4.5.6.7.8 300.1.1.1 0255.1.1.1"), (7, None), (1, "a@b.c" * 3)]
     _, spans = pii.find_spans(clash(spark, rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trellis.operators import materialize
+from trellis.operators import kernels, materialize
 
 #: ASCII white space as a Java character class body: space, tab, newline, vertical tab, form feed, carriage return.
 WS = r"\x20\x09-\x0D"
@@ -13,6 +13,8 @@ WS_CHARS = " \t\n\x0b\f\r"
 
 #: Rows that go to a Python worker at once while a step is written: whole texts, or two sets of shingles, each.
 BATCH_ROWS = 1000
+#: A key with more than one of so many of the rows is hot; there are fewer of these than so many.
+HOT_PARTS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -48,33 +50,24 @@ def pinned(c: Column) -> Column:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable over the undirected edges.
-
-    Each round takes the smallest label of the neighbours and then follows the label's own label, so long chains
-    halve. Both are aggregations with a partial step before the shuffle; a node of a third of all edges costs one
-    row for each map task. Null ends and self-loops add no link; no edges give no rows."""
-    spark = edges.sparkSession
-    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    both = cut(links.union(links.select("b", "a")).distinct(), "links")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
-        # Every label that a node holds hears of the node's smaller one: this hooks whole trees at once.
-        hook = step.groupBy("component").agg(F.min("low").alias("root"))
-        roots = hook.select(F.col("component").alias("low"), F.col("root").alias("top"))
-        new = cut(
-            step.join(hook, "component")
-            .select("node", "component", F.least("low", "root").alias("low"))
-            .join(roots, "low", "left")
-            .select("node", F.least("low", F.coalesce("top", "low")).alias("new"), "component"),
-            "labels",
-        )
-        changed = new.where("new <> component").limit(1).count()
-        labels = new.select("node", F.col("new").alias("component"))
-        if not changed:
-            return labels
+    """(node, component): the smallest node reachable over the undirected edges, as kernels.components says."""
+    return kernels.components(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")))
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, parts: int = HOT_PARTS) -> DataFrame:
+    """rows with the columns of groups (one row a key, `size` of which counts its rows), for written steps.
+
+    A group with more than one of `parts` of the counted rows is one of fewer than `parts`: these few are broadcast, so
+    no task has to take all rows of a hot key; the others are joined by the keys. Rows without a group drop out."""
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = groups.where(F.col(size) * parts > total)
+    cold = groups.where(F.col(size) * parts <= total)
+    if hot.isEmpty():
+        return rows.join(cold, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))

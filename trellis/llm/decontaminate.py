@@ -1,37 +1,46 @@
-"""Benchmark decontamination: a prefix-filtered containment join of documents with item windows.
+"""Benchmark decontamination: a prefix-filtered set join of documents with item windows.
 
-An item's windows are its runs of ten consecutive words (a shorter item is one window). Items' words are ranked by
-how many documents hold them. A document that contains a window contains the window's rarest word, so this one
-word is the necessary prefix at containment 1; where it stands in the window says where the window would start
-(positional bound), the window's length says whether it can fit (length bound), and what is left is verified word
-for word. Word counts for the ranking are pre-aggregated in each task and grow with the items, not the corpus.
+An item's windows are its runs of ten consecutive words (a shorter item is one window). Each distinct window is a row.
+Its set holds its shingles, the pairs of neighbouring words (a window of one word: the word). Spark counts how often
+the documents hold each shingle; this orders the shingles by rarity. A document that contains a window contains the
+window's rarest shingle, so at containment 1 this one is the necessary prefix; a window with a shingle that no
+document holds is dropped at once. Documents meet windows in an equi-join on the prefix token. Where the token stands
+says where the window would begin and end (positional and length bounds), and the words around it, which travel with
+it, are compared with the window's (exact containment).
 
-Items are sent to all tasks in blocks of at most `block_windows` windows, so what is broadcast has a bound; more
-items mean more passes over the documents, not more memory.
+What a task holds of the items is a filter of FILTER_BITS bits, whatever the number of items: it keeps most tokens out of
+the join, and a full filter costs time and no result. Tokens that make up more than one of HOT_PARTS of all prefix
+places are fewer than HOT_PARTS; their places are salted, and their windows repeated for each salt.
 
 Defined cases: a null or empty text has no words and no hits; items without words are ignored; equal items all
-count; a text of any length is one row; no items leave every document clean; rows repeated in either table are
-judged alike (the same item_id counts once); extra columns are not read."""
+count; an item without an id makes documents hit and contaminated and isn't listed; a text of any length leaves a
+task in parts; no items leave every document clean; rows repeated in either table are judged alike (the same item_id
+counts once); extra columns may have any names."""
 
 from __future__ import annotations
 
 import hashlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from trellis.llm.common import cut
+from trellis.llm.common import HOT_PARTS, col, cut
 
 WINDOW = 10
-BLOCK_WINDOWS = 200_000
+#: Bits of the filter that tasks hold (2 MB).
+FILTER_BITS = 1 << 24
+SALTS = 64
+#: Candidate places in a row that leaves a task, and keys that are broadcast (some 30 bytes each).
+PLACES_A_ROW, BROADCAST_KEYS = 4096, 1_000_000
 #: Bytes that part words once A-Z are lower: all of ASCII but digits and letters.
 _BREAKS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-
-HITS_SCHEMA = "row long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<long>"
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -39,128 +48,170 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_BREAKS).split()
 
 
-def _item_blocks(items: DataFrame, item_col: str, text_col: str, window: int, block: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Items in blocks of a bounded number of windows, streamed to the driver one partition at a time."""
-    held, n = [], 0
-    for row in items.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("i is not null").distinct().toLocalIterator():
-        w = words(row["t"])
-        if not w:
-            continue
-        held.append((row["i"], w))
-        n += max(1, len(w) - window + 1)
-        if n >= block:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def _hashes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M2
+    return x ^ (x >> np.uint64(29))
 
 
-def _document_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """Documents that hold each word of the vocabulary."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def shingles(h: np.ndarray, single: bool) -> np.ndarray:
+    """Tokens of hashed words: of each one, or of each two neighbours."""
+    return (_mix(h + _M1) if single else _mix(_mix(h[:-1] * _M1) + h[1:])).view(np.int64)
+
+
+def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(wid, body, size, tokens, items): the distinct windows with the sorted items that hold them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = shared.value, Counter()
         for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                ws = words(text.as_py())
+                size = min(window, len(ws))
+                if not size:
+                    continue
+                tokens = shingles(_hashes(ws), size == 1)
+                starts = np.arange(len(ws) - size + 1)
+                for at in range(0, len(starts), 8192):  # a long item leaves in parts
+                    part = starts[at : at + 8192].tolist()
+                    held = max(1, size - 1)
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * held, pa.int32()), pa.array(np.concatenate([tokens[s : s + held] for s in part])))
+                    bodies = pa.array([b" ".join(ws[s : s + size]) for s in part], pa.binary())
+                    own = batch.column(0).take(pa.array([i] * len(part)))
+                    yield pa.RecordBatch.from_arrays([own, bodies, pa.array([size] * len(part), pa.int32()), listed], names=["item", "body", "size", "tokens"])
+
+    rows = items.select(col(item_col).alias("item"), col(text_col).cast("string").alias("text"))
+    out = StructType([rows.schema["item"], StructField("body", BinaryType()), StructField("size", IntegerType()), StructField("tokens", ArrayType(LongType()))])
+    grouped = rows.mapInArrow(task, out).groupBy("body").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.array_sort(F.collect_set("item")).alias("items"))
+    return cut(grouped.withColumn("wid", F.monotonically_increasing_id()), "windows")
+
+
+class Filter:
+    """A bit set that all wanted tokens pass, and few others; at most FILTER_BITS / 64 rows come to the driver."""
+
+    def __init__(self, tokens: DataFrame):
+        place = F.explode(F.array(F.col("token").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("token", 36).bitwiseAND(FILTER_BITS - 1))).alias("p")
+        parts = tokens.select(place).groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
+        self.bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        got = parts.toArrow()
+        self.bits[got.column("i").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
+
+    def passes(self, tokens: np.ndarray) -> np.ndarray:
+        t = tokens.view(np.uint64)
+        out = None
+        for p in (t & np.uint64(FILTER_BITS - 1), (t >> np.uint64(36)) & np.uint64(FILTER_BITS - 1)):
+            hit = (self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
+            out = hit if out is None else out & hit
+        return out.astype(bool)
+
+
+def token_counts(texts: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
+    """(token, n): how often the texts hold each wanted token. single: whether tokens of one word are wanted too."""
+    shared = texts.sparkSession.sparkContext.broadcast(Filter(wanted))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            found = [np.empty(0, np.int64)]
             for text in batch.column(0):
-                counts.update(wanted.intersection(words(text.as_py())))
-        yield pa.RecordBatch.from_pydict({"w": list(counts), "n": list(counts.values())}, schema=pa.schema([("w", pa.binary()), ("n", pa.int64())]))
-
-    rows = docs.select("text").mapInArrow(task, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r["w"]): r["n"] for r in rows}
-
-
-class Matcher:
-    """Finds item windows in a document's words."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], counts: dict[bytes, int], window: int):
-        order = sorted({w for _, ws in items for w in ws}, key=lambda w: (counts.get(w, 0), w))
-        self.ids = {w: i for i, w in enumerate(order)}  # the id is the rank by rarity
-        self.held: dict[tuple[int, bytes], set[int]] = {}
-        for item, ws in items:
-            ranks = array("i", [self.ids[w] for w in ws])
-            size = min(window, len(ws))
-            for i in range(len(ws) - size + 1):
-                part = ranks[i : i + size]
-                self.held.setdefault((size, part.tobytes()), set()).add(item)
-        self.by_prefix: dict[int, list[tuple[int, int, bytes, tuple[int, ...]]]] = {}
-        for (size, key), owners in self.held.items():
-            part = array("i", key)
-            rarest = min(part)
-            self.by_prefix.setdefault(rarest, []).append((part.index(rarest), size, key, tuple(owners)))
-        self.is_prefix = np.zeros(len(order) + 1, bool)
-        self.is_prefix[list(self.by_prefix)] = True
-
-    def find(self, ws: list[bytes]) -> tuple[list[list[int]], set[int]]:
-        """Merged [start, end) word spans inside windows, and the items of these windows."""
-        get = self.ids.get
-        ranks = np.fromiter((get(w, -1) for w in ws), np.int32, len(ws))
-        spans, owners, n = [], set(), len(ws)
-        places = np.flatnonzero(self.is_prefix[ranks])
-        if len(places):
-            raw = ranks.tobytes()
-            for p in places.tolist():
-                for offset, size, key, items in self.by_prefix[int(ranks[p])]:
-                    start = p - offset
-                    if start >= 0 and start + size <= n and raw[4 * start : 4 * (start + size)] == key:
-                        spans.append((start, start + size))
-                        owners.update(items)
-        return merged(spans), owners
-
-
-def merged(spans: list) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+                h = _hashes(words(text.as_py()))
+                for one in (False, True)[: 1 + single]:
+                    t = shingles(h, one)
+                    found.append(t[wanted.passes(t)])
+            tokens, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n.astype(np.int64))], names=["token", "n"])
 
+    counted = texts.mapInArrow(task, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return cut(counted.join(wanted, "token", "left_semi"), "rarity")
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
-) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, items (sorted), spans (merged word ranges), contaminated.
 
-    id_col may be any column; it is carried along. One block of items is one map over the documents; several blocks
-    are carried on the row from map to map."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    out_type = f"doc_id {kind}, text string, n_words long, spans array<struct<a:long,b:long>>, items array<long>"
-    base = rows.select("doc_id", "text", F.lit(None).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<a:long,b:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
-    blocks = 0
-    for block in _item_blocks(items, item_col, item_text_col, window, block_windows):
-        counts = _document_counts(rows, frozenset(w for _, ws in block for w in ws))
-        base = _match(base, Matcher(block, counts, window), out_type)
-        blocks += 1
-        if blocks > 1:
-            base = cut(base, "leaks")
-    if not blocks:
-        base = _match(base, Matcher([], {}, window), out_type)
-    done = base.drop("text")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return done.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans", (F.size("spans") > 0).alias("contaminated"))
-
-
-def _match(rows: DataFrame, matcher: Matcher, out_type: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(matcher)
+_PLACE = pa.struct([("token", pa.int64()), ("salt", pa.int32()), ("at", pa.int64()), ("before", pa.int32()), ("around", pa.list_(pa.binary()))])
+
+
+def _places(rows: DataFrame, prefixes: DataFrame, hot: list[int], window: int, single: bool) -> DataFrame:
+    """(row, first, doc_id, n_words, places): a row for each document, more for those with many candidate places.
+
+    A place carries the words around it, as many as a window can reach."""
+    shared = rows.sparkSession.sparkContext.broadcast((Filter(prefixes.select("token").distinct()), np.array(sorted(hot), np.int64)))
+    kind = StructType([StructField("row", LongType()), StructField("first", BooleanType()), rows.schema["doc_id"], StructField("n_words", LongType())])
+    names = to_arrow_schema(kind).names
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        wanted, hot = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            counts, spans, items = [], [], []
-            for text, old_spans, old_items in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            at, of, first, sizes, listed = [], [], [], [], []
+            for i, text in enumerate(batch.column(1)):
                 ws = words(text.as_py())
-                found, owners = m.find(ws)
-                counts.append(len(ws))
-                spans.append([{"a": a, "b": b} for a, b in merged([(s["a"], s["b"]) for s in old_spans] + [tuple(x) for x in found])])
-                items.append(sorted(owners.union(old_items)))
-            fields = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *fields], names=["doc_id", "text", "n_words", "spans", "items"])
+                h = _hashes(ws)
+                places = []
+                for one in (False, True)[: 1 + single]:
+                    tokens = shingles(h, one)
+                    hits = np.flatnonzero(wanted.passes(tokens))
+                    salts = np.where(np.isin(tokens[hits], hot), (row + hits) % SALTS, 0)
+                    for p, t, salt in zip(hits.tolist(), tokens[hits].tolist(), salts.tolist(), strict=True):
+                        before = 0 if one else min(p, window - 2)
+                        places.append({"token": t, "salt": salt, "at": p, "before": before, "around": ws[p - before : p + (1 if one else window)]})
+                for k in range(0, max(1, len(places)), PLACES_A_ROW):
+                    at.append(row)
+                    of.append(i)
+                    first.append(k == 0)
+                    sizes.append(len(ws))
+                    listed.append(places[k : k + PLACES_A_ROW])
+                row += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int64()), pa.array(first, pa.bool_()), batch.column(0).take(pa.array(of, pa.int64())), pa.array(sizes, pa.int64()), pa.array(listed, pa.list_(_PLACE))],
+                names=[*names, "places"],
+            )
+
+    place = StructType([StructField("token", LongType()), StructField("salt", IntegerType()), StructField("at", LongType()), StructField("before", IntegerType()), StructField("around", ArrayType(BinaryType()))])
+    return cut(rows.mapInArrow(task, StructType([*kind.fields, StructField("places", ArrayType(place))])), "places")
+
+
+def _hits(places: DataFrame, prefixes: DataFrame, hot: list[int]) -> DataFrame:
+    """(row, a, b, items): every occurrence of a window, as words [a, b)."""
+    salts = F.when(F.col("token").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    windows = prefixes.select("token", "offset", "size", "body", "items", F.explode(salts).alias("salt"))
+    rows = places.where(F.size("places") > 0).select("row", F.explode("places").alias("x")).select("row", "x.*").join(windows, ["token", "salt"])
+    start = F.col("before") - F.col("offset")
+    rows = rows.where((start >= 0) & (start + F.col("size") <= F.size("around")))
+    part = F.transform(F.slice("around", start + 1, F.col("size")), lambda w: w.cast("string"))
+    rows = rows.where(F.array_join(part, " ") == F.col("body").cast("string"))
+    return rows.select("row", (F.col("at") - F.col("offset")).alias("a"), (F.col("at") - F.col("offset") + F.col("size")).alias("b"), "items")
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, hot_parts: int = HOT_PARTS,
+) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, items (sorted), spans (merged word ranges), contaminated.
 
-    return rows.mapInArrow(task, out_type)
+    id_col may be a column of any type; it is carried along."""
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    windows = item_windows(items, item_col, item_text_col, window)
+    single = not windows.where("size = 1").isEmpty()
+    wanted = cut(windows.select(F.explode("tokens").alias("token")).distinct(), "tokens")
+    counts = token_counts(rows.select("text"), wanted, single)
+    spread = windows.select("wid", F.posexplode("tokens").alias("offset", "token")).join(counts, "token", "left")
+    rarest = spread.groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("m")).where("m.n > 0")
+    prefixes = cut(windows.drop("tokens").join(rarest.select("wid", "m.*"), "wid"), "prefixes")
+    each = prefixes.select("token", "n").distinct()
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r["token"] for r in each.where(F.col("n") * hot_parts > total).collect()]  # fewer than hot_parts
+    found = _places(rows, prefixes, hot, window, single)
+    hits = cut(_hits(found, prefixes, hot), "hits")
+
+    order = W.partitionBy("row").orderBy("a", "b")
+    spans = hits.select("row", "a", "b").distinct().withColumn("reach", F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    spans = spans.withColumn("run", F.sum(F.when(F.col("reach") >= F.col("a"), 0).otherwise(1)).over(order)).groupBy("row", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("n_hit"))
+    owners = hits.select("row", "items").distinct().groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = found.where("first").select("row", "doc_id", "n_words").join(spans.join(owners, "row"), "row", "left")
+    none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
+    listed = F.coalesce("items", F.array().cast(hits.schema["items"].dataType))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), listed.alias("items"), F.coalesce("spans", none).alias("spans"), F.col("spans").isNotNull().alias("contaminated"))
 
 
 def digest(items: list[int]) -> str:
@@ -168,6 +219,10 @@ def digest(items: list[int]) -> str:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """Documents without a benchmark window, with their own columns."""
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("body"))
-    return find_leaks(inner, items, "row", "body").where("not contaminated").select("doc_id.*")
+    """Documents without a benchmark window, with their own columns. Texts are known by two hashes and their length."""
+    key = F.struct(F.xxhash64(col(text_col)).alias("p"), F.xxhash64(F.lit(1), col(text_col)).alias("q"), F.length(col(text_col)).alias("n"))
+    texts = docs.select(key.alias("key"), col(text_col).alias("text"))
+    gone = cut(find_leaks(texts, items, "key").where("contaminated").select(F.col("doc_id").alias("gone")).distinct(), "leaks")
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"), key.alias("key"))
+    few = gone.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(gone) if few else gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from trellis.llm.common import WS, WS_CHARS, cut, pinned
+from trellis.llm.common import WS, WS_CHARS, col, cut, join_groups, pinned
 
 MIN_WORDS = 30
 #: Documents with runs and runs, together, that are broadcast to the texts; more are joined by a shuffle.
@@ -91,7 +91,7 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = named.join(here.withColumnRenamed("i", "j"), ["doc", "j"]).withColumn("y", F.expr("r[k]")).drop("r").where("y is not null")
     named = cut(named.select("doc", "i", "m", "x", "y"), "windows")
     firsts = named.groupBy("m", "x", "y").agg(F.min(F.struct("doc", "i")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    late = named.join(firsts.drop("c"), ["m", "x", "y"]).where(F.struct("doc", "i") > F.col("first")).select("doc", "i", (F.col("i") + F.col("m")).alias("z"))
+    late = join_groups(named, cut(firsts, "intervals"), ["m", "x", "y"], "c").where(F.struct("doc", "i") > F.col("first")).select("doc", "i", (F.col("i") + F.col("m")).alias("z"))
     order = W.partitionBy("doc").orderBy("i", "z")
     late = late.distinct().withColumn("reach", F.max("z").over(order.rowsBetween(W.unboundedPreceding, -1)))
     late = late.withColumn("run", F.sum(F.when(F.col("reach") >= F.col("i"), 0).otherwise(1)).over(order))
@@ -102,7 +102,7 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """(doc, runs): for documents with later copies, the sorted runs [a, b) over their lines as split by newline.
 
     doc is a struct of the id and a hash of the text."""
-    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+    docs = docs.select(F.struct(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("h")).alias("doc"), col(text_col).alias("text")).where("text is not null")
     lines = cut(_lines(docs), "lines")
     runs = cut(later_copies(lines.drop("raw"), min_words), "copies")
     ends = runs.select("doc", F.explode(F.array(F.col("a"), F.col("b") - 1)).alias("i")).distinct()
@@ -112,26 +112,36 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("a"), (F.col("to") + 1).alias("b")))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows with the text changed in place and two columns more: line_runs (removed ranges of lines, empty for none) and lines_left."""
-    found = cut(find_runs(docs, id_col, text_col, min_words), "runs").select(F.col("doc.id").alias("_id"), F.col("doc.h").alias("_g"), F.col("runs").alias("_runs"))
-    n, runs = found.select(F.count("*"), F.coalesce(F.sum(F.size("_runs")), F.lit(0))).first()
+def _edited(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(row, text, runs): each row as a struct, so no name clashes, its text without the runs, and the runs."""
+    found = cut(find_runs(docs, id_col, text_col, min_words), "runs").select(F.col("doc.id").alias("fid"), F.col("doc.h").alias("fh"), "runs")
+    n, runs = found.select(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
     if n + runs <= BROADCAST_RUNS:  # 32 bytes a document and 16 a run
         found = F.broadcast(found)
-    keyed = docs.withColumn("_h", F.xxhash64(text_col))
-    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["_id"]) & (keyed["_h"] == found["_g"]), "left").drop("_id", "_h", "_g")
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).alias("id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("h"))
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")), "left")
+    rows = rows.withColumn("lines", F.when(F.col("runs").isNotNull(), F.split("text", "\n")))
     # Keep what lies between the runs: from each run's end to the next one's start.
-    parts = F.expr("transform(_runs, (r, k) -> slice(_lines, cast(r.b as int) + 1, cast(coalesce(get(_runs, k + 1).a, cast(size(_lines) as bigint)) - r.b as int)))")
-    head = F.expr("slice(_lines, 1, cast(_runs[0].a as int))")
-    joined = joined.withColumn("_lines", F.when(F.col("_runs").isNotNull(), F.split(text_col, "\n")))
-    joined = joined.withColumn("_left", F.when(F.col("_runs").isNotNull(), F.concat(head, F.flatten(parts))))
-    out = joined.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n")))
+    parts = F.expr("transform(runs, (r, k) -> slice(lines, cast(r.b as int) + 1, cast(coalesce(get(runs, k + 1).a, cast(size(lines) as bigint)) - r.b as int)))")
+    left = F.concat(F.expr("slice(lines, 1, cast(runs[0].a as int))"), F.flatten(parts))
     empty = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
-    return out.withColumn("line_runs", F.coalesce("_runs", empty)).drop("_runs", "_lines", "_left").select(*docs.columns, "line_runs")
+    return rows.select("row", F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.coalesce("runs", empty).alias("runs"))
+
+
+def _unpacked(docs: DataFrame, text_col: str) -> list:
+    return [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, runs_col: str = "line_runs") -> DataFrame:
+    """All rows with the text changed in place and one column more, runs_col: the removed ranges of lines, empty for none.
+
+    runs_col must not be one of the rows' own columns; those may have any names."""
+    if runs_col in docs.columns:
+        raise ValueError(f"the rows have a column {runs_col}; choose another name")
+    return _edited(docs, id_col, text_col, min_words).select(*_unpacked(docs, text_col), F.col("runs").alias(runs_col))
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later copies of runs; those of which nothing but white space is left go."""
-    out = dedup_lines(docs, id_col, text_col, min_words)
-    gone = (F.size("line_runs") > 0) & (F.btrim(text_col, F.lit(WS_CHARS)) == "")
-    return out.where(~gone).select(*docs.columns)
+    gone = (F.size("runs") > 0) & (F.btrim("text", F.lit(WS_CHARS)) == "")
+    return _edited(docs, id_col, text_col, min_words).where(~gone).select(*_unpacked(docs, text_col))

@@ -15,8 +15,9 @@ share no bucket with a chance of 1.3e-7, and what shares one is dropped only whe
 out.
 
 Defined cases: null, empty or blank texts have the empty set and are linked with nothing; a text with fewer words
-than a shingle is one shingle; copies and repeated rows share a component; ties go to the smallest id; an empty
-table gives an empty result; extra columns are not read."""
+than a shingle is one shingle; copies and repeated rows share a component; ties go to the smallest id; a row without
+an id is linked like others, goes where its component has an id, and else stays under a null component; an empty
+table gives an empty result; extra columns are not read and may have any names."""
 
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trellis.llm.common import components, cut
+from trellis.llm.common import col, components, cut, join_groups
 
 BANDS, ROWS = 40, 5
 FIELDS, BITS = 128, 4
@@ -38,6 +39,8 @@ MARGIN = 0.25
 BROADCAST_IDS = 1_000_000
 #: Sets in a block, and the size up to which a bucket's strays are paired in a join.
 BLOCK, PAIRED = 128, 16
+#: Shingles that a block holds on average at most (8 bytes each): longer sets make more blocks.
+BLOCK_SHINGLES = 1 << 19
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(31)
 
@@ -104,11 +107,12 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
                     sigs.append(None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sigs, longs)],
-                names=["doc_id", "n_shingles", "key", "bands", "sig"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sigs, longs)],
+                names=["doc_id", "h", "n_shingles", "key", "bands", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, key binary, bands array<long>, sig array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(task, "doc_id long, h long, n_shingles long, key binary, bands array<long>, sig array<long>")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -142,7 +146,8 @@ class Linker:
         wanted = cut(self.nodes.select("nid", "first_id", "key").join(wanted, "nid", "left_semi"), "wanted")
         ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
         few = wanted.count() <= BROADCAST_IDS
-        texts = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        ids = F.broadcast(ids) if few else ids
+        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
         width = self.width
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +215,12 @@ class Linker:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; threshold is a percentage of Jaccard similarity."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _judged(docs, id_col, text_col, width, threshold).drop("h")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int) -> DataFrame:
+    """near_duplicates' rows with h, a hash of the text: id and h tell which rows are alike."""
+    docs = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     profile = cut(_profile(docs, width), "profile")
     nodes = profile.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
@@ -235,18 +245,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linker.settle(stars)
     apart = _apart(grouped, linker)
     linker.settle(cut(_strays(apart.where(F.col("size") <= PAIRED), ends, threshold), "strays"))
-    _join_blocks(apart.where(F.col("size") > PAIRED), linker)
+    _join_blocks(apart.where(F.col("size") > PAIRED).join(nodes.select("nid", "n"), "nid"), linker)
 
     named = nodes.select("key", "nid", "first_id")
     if linker.labels is None:
         named = named.select("key", F.col("first_id").alias("component_id"))
     else:
         named = named.join(linker.labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-        firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = named.join(firsts, "component").select("key", "component_id")
-    out = profile.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+        named = cut(named, "named")
+        firsts = cut(named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "firsts")
+        named = join_groups(named, firsts, ["component"], "members").select("key", "component_id")
+    out = profile.select("doc_id", "h", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _apart(grouped: DataFrame, linker: Linker) -> DataFrame:
@@ -276,11 +287,12 @@ def _strays(apart: DataFrame, ends: DataFrame, threshold: int) -> DataFrame:
 
 def _join_blocks(apart: DataFrame, linker: Linker) -> None:
     """Compare strays with all nodes of the large buckets around a main component, block by block, on full sets."""
-    nodes = cut(apart.select("main", "nid", "component").distinct(), "block-nodes")
+    nodes = cut(apart.select("main", "nid", "component", "n").distinct(), "block-nodes")
     if nodes.isEmpty():
         return
     stray = F.col("component") != F.col("main")
-    sizes = nodes.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(stray) / BLOCK).alias("stray_blocks"))
+    blocks = lambda who: F.greatest(F.ceil(F.count_if(who) / BLOCK), F.ceil(F.sum(F.when(who, F.col("n")).otherwise(0)) / BLOCK_SHINGLES))
+    sizes = nodes.groupBy("main").agg(blocks(F.lit(True)).alias("blocks"), blocks(stray).alias("stray_blocks"))
     sizes = cut(sizes, "block-sizes")
     nodes = nodes.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "main")
     of = lambda n: F.pmod(F.xxhash64("nid"), n)
@@ -337,6 +349,7 @@ def block_links(sets: list[np.ndarray], nids: list[int], home: list[int], is_lef
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
     """The documents without later members of each group, with their own columns."""
-    dropped = cut(near_duplicates(docs, id_col, text_col, width, threshold).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti")
+    dropped = cut(_judged(docs, id_col, text_col, width, threshold).where("not kept").select("doc_id", "h").distinct(), "dropped")
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).cast("long").alias("id"), F.xxhash64(col(text_col).cast("string")).alias("g"))
+    gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h")), "left_anti").select("row.*")

@@ -3,7 +3,7 @@
 Hosts are nodes. Links between hosts, counted over all pages before any shuffle of them, and the steps between a
 host and its parent domain are edges. Trust is a personalised PageRank from hosts whose pages allow rules fit;
 distrust is the same over the reversed edges from hosts whose pages block rules fit. Both run as one join and one
-grouped sum a round over a table keyed by direction and host. A host is blocked where distrust is the greater part
+grouped sum a round over a table keyed by direction and host, until a round moves next to nothing. A host is blocked where distrust is the greater part
 of the two by `threshold`; hosts that neither reaches are allowed.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; a null
@@ -17,10 +17,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trellis.llm.common import ascii_lower, cut
+from trellis.llm.common import ascii_lower, col, cut
+from trellis.operators.materialize import done_with
 
 DAMPING = 0.85
-ROUNDS = 8
+#: Propagation ends once no more than this of the rank (1 a way) is still on its way; ranks are off by less.
+TOLERANCE = 1e-5
+#: Rounds between two tests, which are one job.
+ROUNDS_A_STEP = 4
 THRESHOLD = 0.8
 #: Hosts whose verdicts are broadcast to the pages (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
@@ -91,26 +95,36 @@ def domain_steps(hosts: DataFrame) -> DataFrame:
     return up.union(up.select("dst", "src")).distinct().withColumn("n", F.lit(1).cast("long"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """edges (src, dst, n), seeds (way, host, weight), way 0 trust along edges and 1 distrust against them
-    -> (way, host, rank). Weights are scaled to 1 a way; rank at hosts without edges returns to nobody."""
+    -> (way, host, rank), to the tolerance. Weights are scaled to 1 a way; rank at hosts without edges returns to nobody.
+
+    A round shrinks what is still to be moved by the damping, so rounds are bounded by log(tolerance) / log(damping)."""
     total = seeds.groupBy("way").agg(F.sum("weight").alias("total"))
     teleport = cut(seeds.join(F.broadcast(total), "way").where("total > 0").select("way", "host", (F.col("weight") / F.col("total")).alias("rank")), "seeds")
     both = edges.select(F.lit(0).alias("way"), "src", "dst", "n").union(edges.select(F.lit(1).alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("way", "src").agg(F.sum("n").alias("all"))
-    both = cut(both.join(out, ["way", "src"]).select("way", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("share")), "edges")
-    rank = teleport
-    for i in range(rounds):
-        sent = rank.join(both, ["way", "host"]).select("way", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = sent.union(teleport.select("way", "host", F.col("rank") * (1 - damping))).groupBy("way", "host").agg(F.sum("rank").alias("rank"))
-        if i % 2 or i == rounds - 1:
-            rank = cut(rank, "rank")
-    return rank
+    steps = both.join(out, ["way", "src"]).select("way", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all") * damping).alias("share"))
+    # Each host also sends its rank to itself, so a round reads the state once.
+    hosts = steps.select("way", "host").union(steps.select("way", "dst")).union(teleport.select("way", "host")).distinct()
+    steps = cut(steps.withColumn("own", F.lit(False)).union(hosts.select("way", "host", "host", F.lit(0.0), F.lit(True))), "edges")
+    # moved is what a host got in the last round; of all that it ever got, 1 - damping stays as its rank.
+    state = teleport.select("way", "host", F.col("rank").alias("moved"), (F.col("rank") * (1 - damping)).alias("rank"))
+    while True:
+        before = state
+        for _ in range(ROUNDS_A_STEP):
+            sent = state.join(steps, ["way", "host"]).groupBy("way", F.col("dst").alias("host"))
+            state = sent.agg(F.sum(F.col("moved") * F.col("share")).alias("moved"), F.coalesce(F.sum(F.when(F.col("own"), F.col("rank"))), F.lit(0.0)).alias("rank"))
+            state = state.select("way", "host", "moved", (F.col("rank") + F.col("moved") * (1 - damping)).alias("rank"))
+        state = cut(state, "rank")
+        done_with(before)
+        if state.agg(F.coalesce(F.sum("moved"), F.lit(0.0))).first()[0] <= tolerance:
+            return state.select("way", "host", "rank")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row."""
-    named = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    named = pages.select(col(id_col).alias("page_id"), host_of(col(url_col)).alias("host"), path_of(col(url_col)).alias("path"))
     matched = match_rules(named, rules)
     hosts = cut(
         matched.where("host <> ''").groupBy("host").agg(
@@ -118,8 +132,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         ),
         "hosts",
     )
-    with_links = pages.select(host_of(F.col(url_col)).alias("host"), html_col).where(F.col(html_col).isNotNull())
-    edges = links(with_links, html_col).union(domain_steps(hosts)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    with_links = pages.select(host_of(col(url_col)).alias("host"), col(html_col).alias("html")).where("html is not null")
+    edges = links(with_links, "html").union(domain_steps(hosts)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
     seeds = hosts.select(F.lit(0).alias("way"), "host", (F.col("allowed") / F.col("pages")).alias("weight")).union(hosts.select(F.lit(1).alias("way"), "host", F.col("blocked") / F.col("pages"))).where("weight > 0")
     rank = propagate(cut(edges, "links"), seeds)
     scored = rank.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("way") == w, F.col("rank"))), F.lit(0.0)).alias(name) for w, name in enumerate(("trust", "distrust"))])

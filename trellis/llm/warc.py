@@ -29,6 +29,8 @@ from trellis.operators.materialize import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
+#: Ranges that one task reads where there are enough for all cores.
+RANGES_A_TASK = 16
 READ_BYTES = 1 << 18
 RECORD_SCHEMA = "page_id long, target string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 _DATE = "2000-01-01T00:00:00Z"
@@ -169,9 +171,13 @@ def _parse(data: bytes, payloads: bool) -> dict:
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
-    """The records of `files` (file, bytes) in a folder; payload is null unless asked for."""
+    """The records of `files` (file, bytes) in a folder; payload is null unless asked for.
+
+    Ranges are dealt out in turn to a number of tasks that follows from the bytes; rows this small would else be
+    coalesced to a few tasks, whatever they stand for."""
     ranges = files.select("file", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {range_bytes}L)")).alias("start"))
-    ranges = ranges.repartition(F.col("file"), F.col("start"))
+    n = files.agg(F.coalesce(F.sum(F.greatest(F.ceil(F.col("bytes") / range_bytes), F.lit(1))), F.lit(0))).first()[0]
+    ranges = ranges.repartition(max(1, min(n, 2 * spark.sparkContext.defaultParallelism), -(-n // RANGES_A_TASK)))
     schema = pa.schema([("page_id", pa.int64()), ("target", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
