@@ -211,6 +211,31 @@ def test_license_templates(spark):
         license_scan.similar_blocks(clash(spark, []), [("x", "y")] * 1001)
 
 
+def test_wrapped_license_texts(spark):
+    """Every template is found wrapped, commented, in the midst of prose and with a word in ten changed; not without a fifth."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(("zebra", "lantern", "gravel", "the", "of", "software")) for _ in range(n))
+    rows, want = [], {}
+    for i, (label, text) in enumerate(license_scan.TEMPLATES):
+        words, lines = text.split(), []
+        while words:
+            lines.append(" * " + " ".join(words[:7]))
+            words = words[7:]
+        rows.append((i, f"{prose(300)}\n/*\n" + "\n".join(lines) + f"\n */\n{prose(200)}"))
+        want[i] = label
+        own = license_scan.template_words(text)
+        if len(own) >= 30:
+            for base, share in ((100, 0.06), (200, 0.2)):
+                gone = set(rng.sample(own, math.ceil(share * len(own))))
+                rows.append((base + i, " ".join("changed" if w.strip("\"'.,:;()").lower() in gone else w for w in text.split())))
+    out = {r["doc_id"]: r for r in license_scan.scan(clash(spark, rows)).collect()}
+    for i, label in want.items():
+        assert label in out[i]["labels"] and out[i]["score"] == 1, i
+    assert len([i for i in out if i >= 200]) >= 5
+    for i, r in out.items():
+        assert i < 100 or (license_scan.TEMPLATES[i % 100][0] in r["labels"]) == (i < 200), i
+
+
 def test_packing_finds_the_cheapest_sequence_with_room():
     """Against a plain search over all sequences, with far more than 64 of them too full."""
     rng = random.Random(7)
@@ -377,6 +402,38 @@ def test_pii_edges(spark):
     assert spans.columns == ["key", "kind", "start", "end"]
 
 
+def test_pii_discovers_unseen_identifiers(spark):
+    """Secrets by their names, then their shape elsewhere; numbers in the shape of cards; badges by the words before and
+    after them. Ordinary numbers and words that merely precede some seeds stay out."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(("the", "of", "river", "stone", "was", "late", "under")) for _ in range(n))
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1"
+    card = lambda ok: next(x for x in iter(lambda: "".join(rng.choice("0123456789") for _ in range(16)), "") if brute.luhn(x) == ok)
+    rows, planted = [], {}
+
+    def add(before, what, after):
+        text = f"{prose(30)} {before}"
+        planted[len(rows)] = (len(text) + 1, len(text) + 1 + len(what)) if what else None
+        rows.append((len(rows), f"{text} {what} {after} {prose(30)}" if what else text))
+
+    for k in range(12):
+        add("token =", secret(), "and")
+        add("password:", f"Hunter{k}77", "x")
+        add("of", secret(), "the")  # by shape alone
+        add("the", card(True), "of")
+        add("was", card(False), "under")
+        add("badge", f"mail.{k}@ex{k}.org", "holder")
+        add("badge", f"K{k}44{k}Z", "holder")
+    quiet = len(rows)
+    for k in range(40):
+        add(f"in {1900 + k} version 2.{k}.0 and chapter {k}, some {rng.randrange(10**6, 10**7)}", None, "")
+    out = {r["doc_id"]: r for r in pii.summarize(*pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for d, span in planted.items():
+        spans = [(x["start"], x["end"]) for x in out[d]["all"]]
+        assert spans == ([span] if span else []), rows[d]
+    assert quiet == 84 and sum(out[d]["n_ident"] for d in range(quiet)) == 60
+
+
 def test_lookup_gives_each_words_subwords():
     rng = random.Random(3)
     pool = ["abc", "dé", "x'll", "123", "…", "\xa0", "a\xa0", "\xa0b", "the", "thebleou", "日本"]

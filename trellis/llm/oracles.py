@@ -81,17 +81,19 @@ from p left join f on f.h = p.h
 """
 
 _PHRASES = ", ".join(f"('{phrase}', {len(phrase.split())}, '{label}')" for phrase, label in license_scan.PHRASES)
-_TEMPLATES = ", ".join(f"({i}, '{label}', {license_scan.template_words(text)!r})" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+_TEMPLATES = ", ".join(
+    f"({i}, '{label}', {license_scan.template_words(text)!r}, {license_scan.needed_words(text)}, {license_scan.block_words(text)})" for i, (label, text) in enumerate(license_scan.TEMPLATES)
+)
 
 OP5 = rf"""
-with phrases(phrase, n, label) as (values {_PHRASES}), templates(id, label, ws) as (values {_TEMPLATES}),
+with phrases(phrase, n, label) as (values {_PHRASES}), templates(id, label, ws, need, reach) as (values {_TEMPLATES}),
 d as materialized (select doc_id, coalesce(text, '') as t, {_WORDS.format("coalesce(text, '')")} as w from documents),
 k as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d where contains({_LOW.format("t")}, 'cc') or contains({_LOW.format("t")}, 'license') or contains({_LOW.format("t")}, 'reserved')),
 h as (select doc_id, i - 1 as place, label from k join phrases on array_to_string(w[i:i + n - 1], ' ') = phrase),
 b as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list_distinct(list(label))) as labels from h group by 1),
-l as (select doc_id, list_distinct({_WORDS.format("line")}) as w from (select doc_id, unnest(string_split(t, e'\n')) as line from d)),
-c as (select doc_id, label, len(list_intersect(l.w, ws)) as common, len(ws) as n from l, templates where len(l.w) > 0),
-f as (select doc_id, list(distinct label) as found, max(common / n) as best from c where common >= ceil({license_scan.CONTAINMENT} * n - 1e-9) group by 1)
+l as materialized (select doc_id, w, id, label, ws, need, reach from d, templates where len(list_intersect(list_distinct(w), ws)) >= need),
+c as (select doc_id, label, len(list_intersect(list_distinct(w[i:i + reach - 1]), ws)) as common, len(ws) as n, need from (select *, unnest(range(1, len(w) + 1)) as i from l) where list_contains(ws, w[i])),
+f as (select doc_id, list(distinct label) as found, max(common / n) as best from c where common >= need group by 1)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   coalesce(array_to_string(labels, ','), '') as base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ','), '') as labels,
   case when n_base > 0 then 1.0 else coalesce(best, 0.0) end::double as score

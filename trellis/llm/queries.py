@@ -63,7 +63,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.summarize(*pii.find_spans(_table(spark, sf_dir, "documents")))
     return rows.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_ident",
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.size("all").cast("long").alias("n_spans"),
         F.sha2(pii.joined_spans("all", True), 256).alias("base_sha256"), pii.joined_spans("all", False).alias("spans"),
     )
 
