@@ -47,19 +47,32 @@ def test_all_repositories_resolve(spark, tmp_path):
 
 
 def test_calls(spark, tmp_path):
+    """The same file's first definition wins; a name that only one other file defines is a guess; others and calls of oneself drop out."""
     files = {
-        "a.rs": "fn helper() {}\nfn shared() {}\nfn alpha() { helper(); shared(); }\n",
-        "b.rs": "fn shared() {}\nfn beta() { helper(); beta(); }\nfn gamma() { shared(); }\n",
-        "c.rs": "fn orphan() { shared(); }\n",
+        "store.rs": "fn open_store() {}\nfn flush() {}\nfn write_all() { open_store(); flush(); write_all(); }\n",
+        "cache.rs": "fn flush() {}\nfn evict() { flush(); open_store(); }\n",
+        "cli.rs": "fn run() { flush(); write_all(); missing(); }\n",
     }
     graph, _ = store.index(spark, make(tmp_path, files))
     s = graph.symbols.join(graph.files, "file_id").select("symbol_id", F.concat("path", F.lit(":"), "name").alias("n"))
     rows = graph.calls.join(s.toDF("src", "a"), "src").join(s.toDF("dst", "b"), "dst")
     assert {(r["a"], r["b"], r["confidence"]) for r in rows.collect()} == {
-        ("a.rs:alpha", "a.rs:helper", "Resolved"), ("a.rs:alpha", "a.rs:shared", "Resolved"), ("b.rs:beta", "a.rs:helper", "Heuristic"), ("b.rs:gamma", "b.rs:shared", "Resolved"),
+        ("store.rs:write_all", "store.rs:open_store", "Resolved"), ("store.rs:write_all", "store.rs:flush", "Resolved"),
+        ("cache.rs:evict", "cache.rs:flush", "Resolved"), ("cache.rs:evict", "store.rs:open_store", "Heuristic"), ("cli.rs:run", "store.rs:write_all", "Heuristic"),
     }
 
 
+def test_roots_in_order(spark, tmp_path):
+    """Of modules below several roots the least root's wins, a file before a package; folders count for all roots."""
+    files = {
+        "a/lib/__init__.py": "", "a/lib/x.py": "", "b/lib/__init__.py": "", "b/lib/x.py": "", "b/lib/y/__init__.py": "", "b/lib/y.py": "", "main.py": "import lib.x\nimport lib.y\nimport lib\nimport a.lib.x\n",
+        "one/src/com/q/A.java": "package com.q;\n", "two/src/com/q/B.java": "package com.q;\nimport com.q.*;\nimport com.q.A;\n",
+    }
+    graph, _ = store.index(spark, make(tmp_path, files))
+    got = {(r["file"], r["target"]) for r in graph.dependency_pairs().collect()}
+    assert got == {("main.py", "a/lib/x.py"), ("main.py", "b/lib/y.py"), ("main.py", "a/lib/__init__.py"), ("two/src/com/q/B.java", "one/src/com/q/A.java")}
+
+
 def test_incremental(spark, tmp_path):
     root = make(tmp_path / "r", {"a.py": "import b\n", "b.py": "def f(): pass\n", "c.py": ""})
     _, first = store.index(spark, root)
@@ -73,13 +86,25 @@ def test_incremental(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     folder = str(tmp_path / ".trellis")
-    assert store.load(spark, folder) is None and not store.exists(folder)
+    assert store.load(spark, folder) is None and not store.exists(spark, folder)
     graph, made = store.index(spark, make(tmp_path / "r", REPOS["ruby"][0]))
     store.save(graph, made, folder)
     again = store.load(spark, folder)
     assert again.dependency_pairs().count() == 1 and store.load_extractions(spark, folder).count() == 2
+    assert again.listing == graph.listing != ""
+    same, _ = store.index(spark, str(tmp_path / "r"), store.load_extractions(spark, folder), again)
+    assert same is again  # nothing changed
+    make(tmp_path / "r", {"other.txt": "x"})
+    assert store.index(spark, str(tmp_path / "r"), made, again)[0] is not again
+    remote = f"file://{tmp_path}/as-uri"
+    store.save(graph, made, remote)
+    assert store.load(spark, remote).dependency_pairs().count() == 1
     with open(f"{folder}/_meta.json", "w") as f:
         f.write('{"version": 0}')
+    os.remove(f"{folder}/._meta.json.crc")
+    assert store.load(spark, folder) is None
+    with open(f"{folder}/_meta.json", "w") as f:
+        f.write("broken")
     assert store.load(spark, folder) is None
 
 

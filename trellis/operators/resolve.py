@@ -15,13 +15,14 @@ TS_INDEX = ("/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 #: What a written extension may stand for.
 TS_WRITTEN = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
 
-_CANDIDATE = "file_id bigint, ordinal int, priority int, cand string, whole_dir boolean, confidence string, reason string"
 _KEY = ["file_id", "ordinal"]
 
 
-def _cands(rows: DataFrame, cand: Column, priority: Column | int = 0, whole_dir: bool = False, confidence: str = schema.RESOLVED) -> DataFrame:
+def _cands(rows: DataFrame, cand: Column, priority: Column | int = 0, whole_dir: bool = False, confidence: str = schema.RESOLVED, root: Column | None = None) -> DataFrame:
+    """Candidates of imports; the least root wins, then the least priority."""
     p = F.lit(priority) if isinstance(priority, int) else priority
-    return rows.select(*_KEY, p.cast("int").alias("priority"), cand.alias("cand"), F.lit(whole_dir).alias("whole_dir"), F.lit(confidence).alias("confidence"))
+    first = F.lit("") if root is None else root
+    return rows.select(*_KEY, first.alias("root"), p.cast("int").alias("priority"), cand.alias("cand"), F.lit(whole_dir).alias("whole_dir"), F.lit(confidence).alias("confidence"))
 
 
 def _several(rows: DataFrame, *cands: Column) -> DataFrame:
@@ -42,6 +43,16 @@ def _own_roots(files: DataFrame, language: str, suffix: str) -> DataFrame:
     return rows.select(_source_root(F.col("dir"), F.col("package")).alias("root")).distinct()
 
 
+def _below(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """places (place), roots (root) -> (place, root, rest) for each root that a place lies below.
+
+    A place has as many folders above it as its path has parts, so this is one row for each of them and an equi-join,
+    however many roots there are."""
+    parts, k = F.split("place", "/"), F.sequence(F.lit(0), F.size(F.split("place", "/")) - 1)
+    above = F.transform(k, lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("root"), F.array_join(F.slice(parts, i + 1, F.size(parts) - i), "/").alias("rest")))
+    return places.select("place", F.explode(above).alias("x")).select("place", "x.root", "x.rest").join(roots, "root")
+
+
 def _python(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, str]:
     packages = files.where(paths.basename(F.col("path")) == "__init__.py").select("dir").distinct()
     parents = packages.select(paths.parent_dir(F.col("dir")).alias("root"), "dir")
@@ -53,28 +64,29 @@ def _python(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, str]:
     joined = F.when(base == "", sub).when(sub == "", base).otherwise(F.concat(base, F.lit("/"), sub))
     inits = F.when(joined == "", F.lit("__init__.py")).otherwise(F.concat(joined, F.lit("/__init__.py")))
     near = _several(relative, F.when(sub != "", F.concat(joined, F.lit(".py"))), inits)
-    absolute = rows.where(~F.startswith("specifier", F.lit("."))).select("file_id", "ordinal", sub.alias("sub"))
-    # Ordered by root, then by form: both numbers in one.
-    ranked = roots.agg(F.array_sort(F.collect_list("root")).alias("roots")).select(F.posexplode("roots").alias("p", "root"))
-    far = absolute.join(F.broadcast(ranked))  # roots are folders above top-level packages
-    full = paths.join_path(F.col("root"), F.col("sub"))
-    forms = F.array(F.concat(full, F.lit(".py")), F.concat(full, F.lit("/__init__.py")))
-    far = far.select(*_KEY, "p", F.posexplode(forms).alias("q", "cand"))
-    return near.unionByName(_cands(far, F.col("cand"), F.col("p") * 2 + F.col("q"))), "relative import resolves to no file in the repo"
+    absolute = rows.where(~F.startswith("specifier", F.lit("."))).select(*_KEY, sub.alias("sub"))
+    found = _below(files.where(F.endswith("path", F.lit(".py"))).select(F.col("path").alias("place")), roots)
+    init = F.endswith("rest", F.lit("/__init__.py"))
+    module = F.regexp_replace("rest", r"(?:/__init__)?\.py$", "")
+    found = found.select("place", "root", F.explode(F.array(F.struct(module.alias("sub"), init.cast("int").alias("q")), F.struct(F.regexp_replace("rest", r"\.py$", "").alias("sub"), F.lit(0).alias("q")))).alias("x"))
+    far = absolute.join(found.select("place", "root", "x.*").distinct(), "sub")
+    return near.unionByName(_cands(far, F.col("place"), F.col("q"), root=F.col("root"))), "relative import resolves to no file in the repo"
 
 
 def _java(rows: DataFrame, files: DataFrame) -> DataFrame:
-    roots = _own_roots(files, "java", ".java").agg(F.array_sort(F.collect_list("root")).alias("roots")).select(F.posexplode("roots").alias("p", "root"))
-    rows = rows.join(F.broadcast(roots))
+    roots = _own_roots(files, "java", ".java")
     wild = F.endswith("specifier", F.lit(".*"))
-    path = F.regexp_replace(F.regexp_replace("specifier", r"\.\*$", ""), r"\.", "/")
-    full = paths.join_path(F.col("root"), path)
-    return _cands(rows.where(wild), full, 0, True, schema.HEURISTIC).unionByName(_cands(rows.where(~wild), F.concat(full, F.lit(".java")), F.col("p"), False, schema.HEURISTIC))
+    named = rows.select(*_KEY, wild.alias("wild"), F.regexp_replace(F.regexp_replace("specifier", r"\.\*$", ""), r"\.", "/").alias("sub"))
+    folders = _below(files.select(F.col("dir").alias("place")).distinct(), roots).withColumnRenamed("rest", "sub")
+    sources = _below(files.where(F.endswith("path", F.lit(".java"))).select(F.col("path").alias("place")), roots).withColumn("sub", F.regexp_replace("rest", r"\.java$", ""))
+    all_of = _cands(named.where("wild").join(folders, "sub"), F.col("place"), 0, True, schema.HEURISTIC)
+    return all_of.unionByName(_cands(named.where("not wild").join(sources, "sub"), F.col("place"), 0, False, schema.HEURISTIC, F.col("root")))
 
 
 def _csharp(rows: DataFrame, files: DataFrame) -> DataFrame:
-    rows = rows.join(F.broadcast(_own_roots(files, "csharp", ".cs")))
-    return _cands(rows, paths.join_path(F.col("root"), F.regexp_replace("specifier", r"\.", "/")), 0, True, schema.HEURISTIC)
+    folders = _below(files.select(F.col("dir").alias("place")).distinct(), _own_roots(files, "csharp", ".cs")).withColumnRenamed("rest", "sub")
+    named = rows.select(*_KEY, F.regexp_replace("specifier", r"\.", "/").alias("sub"))
+    return _cands(named.join(folders, "sub"), F.col("place"), 0, True, schema.HEURISTIC)
 
 
 def _kotlin(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -157,7 +169,7 @@ def resolve_imports(files: DataFrame, raw: DataFrame, read: Callable[[str], str
         cands = cands.unionByName(p)
 
     by_path = cands.where("not whole_dir").join(files.select(F.col("path").alias("cand"), F.col("file_id").alias("dst")), "cand")
-    best = by_path.groupBy(*_KEY).agg(F.min(F.struct("priority", "dst", "confidence")).alias("m")).select(*_KEY, "m.dst", "m.confidence")
+    best = by_path.groupBy(*_KEY).agg(F.min(F.struct("root", "priority", "dst", "confidence")).alias("m")).select(*_KEY, "m.dst", "m.confidence")
     by_dir = cands.where("whole_dir").join(files.select(F.col("dir").alias("cand"), F.col("file_id").alias("dst")), "cand").select(*_KEY, "dst", "confidence").distinct()
     hits = best.unionByName(by_dir)
     out = rows.select(*_KEY, "specifier", "language").join(hits, _KEY, "left")

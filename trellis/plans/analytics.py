@@ -9,7 +9,6 @@ from trellis.operators.materialize import cut
 from trellis.plans.codegraph import CodeGraph
 
 GUARD_FLOOR = 4
-SEEN_KEPT, EVENTS_KEPT = 1000, 500
 
 
 def audit(graph: CodeGraph) -> DataFrame:
@@ -101,7 +100,11 @@ def safe_sessions(rows: DataFrame) -> DataFrame:
 
 
 def viz_nodes(graph: CodeGraph) -> DataFrame:
-    rows = graph.graph_nodes()
+    return named_nodes(graph.graph_nodes())
+
+
+def named_nodes(rows: DataFrame) -> DataFrame:
+    """Nodes by the names a map uses, with their top folder."""
     return rows.withColumnsRenamed({"is_hub": "isHub", "symbol_kind": "symbolKind"}).withColumn("folder", paths.top_folder(F.col("id")))
 
 
@@ -123,6 +126,25 @@ def legend(nodes: DataFrame, by: str) -> DataFrame:
     return rows.orderBy(F.desc("count"), by)
 
 
+def legend_of(graph: CodeGraph, by: str) -> DataFrame:
+    """(label, count, shared): a map's legend by community, folder or language, larger first.
+
+    A community is named for the folder of its most connected file; files that bridge communities are one more row."""
+    rows = graph.graph_nodes()
+    key = {"community": F.col("group"), "folder": paths.top_folder(F.col("id")), "language": F.coalesce("language", F.lit(""))}[by]
+    folder = paths.folder_label(F.col("id"))
+    rows = rows.select(key.alias("key"), "id", "degree", "is_hub", F.when(folder != "", folder).otherwise(F.col("label")).alias("name"))
+    out = rows.groupBy("key").agg(F.min_by("name", F.struct((-F.col("degree")).alias("d"), "id")).alias("name"), F.count("*").alias("count"))
+    if by != "community":
+        none = F.lit("(root)" if by == "folder" else "(unknown)")
+        out = out.withColumn("name", F.when(F.col("key") == "", none).otherwise(F.col("key")))
+    out = out.select(F.col("name").alias("label"), "count", F.lit(False).alias("shared"))
+    if by == "community":
+        hubs = rows.where("is_hub").agg(F.count("*").alias("count")).where("count > 0")
+        out = out.unionByName(hubs.select(F.lit("shared (hubs)").alias("label"), "count", F.lit(True).alias("shared")))
+    return out.orderBy("shared", F.desc("count"), "label")
+
+
 def search(graph: CodeGraph, text: str) -> DataFrame:
     """(file, matched): files whose path holds the text, and their neighbours."""
     hits = graph.files.where(F.contains(F.lower("path"), F.lit(text.lower()))).select("file_id")
@@ -145,7 +167,10 @@ def node_sizes(graph: CodeGraph) -> DataFrame:
 
 
 def snapshot_html(graph: CodeGraph, title: str = "code map", limit: int = 5000) -> str:
-    """A small page with nodes and edges inlined; limited, as it goes to a browser."""
-    rows = cut(viz_payload(graph), "payload").limit(limit).collect()
-    part = lambda p: "[" + ",".join(r["json"].replace("</", "<\\/") for r in rows if r["part"] == p) + "]"
-    return f"<!DOCTYPE html><title>{title}</title><script>window.MAP={{nodes:{part('node')},edges:{part('edge')}}}</script>"
+    """A small page with the map inlined: the `limit` most connected files, as it goes to a browser, and all edges
+    between them."""
+    nodes = cut(viz_nodes(graph).orderBy(F.desc("degree"), "id").limit(limit), "map-nodes")
+    shown = nodes.select("id")
+    edges = viz_edges(graph).join(F.broadcast(shown.withColumnRenamed("id", "source")), "source", "left_semi").join(F.broadcast(shown.withColumnRenamed("id", "target")), "target", "left_semi")
+    part = lambda df: "[" + ",".join(x.replace("</", "<\\/") for x in df.toJSON().collect()) + "]"
+    return f"<!DOCTYPE html><title>{title}</title><script>window.MAP={{nodes:{part(nodes)},edges:{part(edges)}}}</script>"

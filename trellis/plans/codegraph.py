@@ -19,8 +19,10 @@ CONTEXT_SYMBOLS, CONTEXT_DEPENDENTS = 15, 25
 class CodeGraph:
     """Base tables keep parallel edges; only queries that ask for sets remove them."""
 
-    def __init__(self, files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, diagnostics: DataFrame):
+    def __init__(self, files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, diagnostics: DataFrame, listing: str = ""):
+        """listing says of which state of a tree the tables are, where that is known."""
         self.files, self.symbols, self.imports, self.calls, self.diagnostics = files, symbols, imports, calls, diagnostics
+        self.listing = listing
 
     @property
     def spark(self):
@@ -239,7 +241,7 @@ class CodeGraph:
 
     def context_markdown(self, chosen: DataFrame) -> DataFrame:
         """(rank, path, line): one line of markdown for each chosen file (rank, file_id)."""
-        rows = self.context_files(chosen).join(chosen.select("rank", "file_id"), "file_id")
+        rows = self.context_files(chosen).join(F.broadcast(chosen.select("rank", "file_id")), "file_id")  # as many as a context shows
         part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f" — {label}: "), F.array_join(c, ", "))).otherwise("")
         line = F.concat(F.lit("- "), "path", F.lit(" ["), F.coalesce("language", F.lit("?")), F.lit("]"), part("symbols", "symbols"), part("imports", "depends_on"), part("imported by", "dependents"))
         return rows.select("rank", "path", line.alias("line"))

@@ -347,6 +347,21 @@ def legend_folders(spark, sf_dir):
     return analytics.legend(rows, "folder")
 
 
+@_query(" select coalesce(language, '(unknown)') as label, count(*) as count, false as shared from files group by 1")
+def legend_languages(spark, sf_dir):
+    return analytics.legend_of(workloads.graph(spark, sf_dir), "language")
+
+
+@_query(" select split_part(path, '/', 1) as label, count(*) as count, false as shared from files group by 1")
+def legend_top_folders(spark, sf_dir):
+    return analytics.legend_of(workloads.graph(spark, sf_dir), "folder")
+
+
+@_query()
+def legend_communities(spark, sf_dir):
+    return analytics.legend_of(workloads.graph(spark, sf_dir), "community")
+
+
 @_query(", hits as (select file_id from files where contains(lower(path), 'brand12')) select path as file, max(matched) as matched from (select file_id, true as matched from hits union all select b, false from links join hits on a = file_id) x join files using (file_id) group by path")
 def search(spark, sf_dir):
     return analytics.search(workloads.graph(spark, sf_dir), "BRAND12")

@@ -6,6 +6,7 @@ import os
 import re
 from functools import cached_property
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from trellis import lang
@@ -121,9 +122,15 @@ def list_files(root: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def walk(spark: SparkSession, root: str, files_a_task: int = 500) -> DataFrame:
-    """The files of a tree. Names are listed on the driver; contents are read in tasks."""
-    rows = list_files(root)
+def signature(rows: list[tuple[str, str, int, int]]) -> str:
+    """What a listing's paths, times and sizes are; empty where a time is unknown."""
+    if any(not mtime for _, _, mtime, _ in rows):
+        return ""
+    return xxhash.xxh3_128_hexdigest("\0".join(f"{path}\0{mtime}\0{size}" for path, _, mtime, size in rows).encode("utf-8", "surrogateescape"))
+
+
+def walk(spark: SparkSession, rows: list[tuple[str, str, int, int]], files_a_task: int = 500) -> DataFrame:
+    """The files of a listing; contents are read in tasks."""
     return spark.createDataFrame(rows, WALKED).repartition(max(1, -(-len(rows) // files_a_task)))
 
 

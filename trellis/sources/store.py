@@ -51,49 +51,76 @@ def reader(root: str) -> Callable[[str], str | None]:
     return read
 
 
-def index(spark: SparkSession, root: str, cached: DataFrame | None = None, times: dict[str, float] | None = None) -> tuple[CodeGraph, DataFrame]:
-    """A local tree's graph and its extractions, for the next run. times gets seconds by phase."""
+def index(spark: SparkSession, root: str, cached: DataFrame | None = None, graph: CodeGraph | None = None, times: dict[str, float] | None = None) -> tuple[CodeGraph, DataFrame]:
+    """A local tree's graph and its extractions, for the next run. times gets seconds by phase.
+
+    Extractions of unchanged files are reused; where the whole listing is that of `graph`, so is the graph."""
     times = {} if times is None else times
     began = time.perf_counter()
-    walked = repo.walk(spark, root)
+    rows = repo.list_files(root)
+    listing = repo.signature(rows)
     times["walk"] = time.perf_counter() - began
-    extractions = cut(extract.extract(walked, cached), "extractions")
+    if graph is not None and cached is not None and listing and graph.listing == listing:
+        return graph, cached
+    extractions = cut(extract.extract(repo.walk(spark, rows), cached), "extractions")
     times["extract"] = time.perf_counter() - began - times["walk"]
-    graph = build(extractions, reader(root))
+    made = build(extractions, reader(root))
+    made.listing = listing
     times["resolve"] = time.perf_counter() - began - times["walk"] - times["extract"]
-    return graph, extractions
+    return made, extractions
+
+
+def _uri(folder: str) -> str:
+    """Local paths as URIs; others as they are."""
+    return folder.rstrip("/") if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+
+def _file(spark: SparkSession, folder: str):
+    """The version file's file system and place."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{_uri(folder)}/_meta.json")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def save(graph: CodeGraph, extractions: DataFrame, folder: str) -> None:
-    """Tables first, the version last: a broken write leaves no valid index."""
-    meta = os.path.join(folder, "_meta.json")
-    if os.path.exists(meta):
-        os.remove(meta)
+    """Tables first, the version last: a broken write leaves no valid index. folder is a path or any store's URI."""
+    fs, meta = _file(graph.spark, folder)
+    if fs.exists(meta):
+        fs.delete(meta, False)
     for name in TABLES:
-        cut(getattr(graph, name), name).write.mode("overwrite").parquet(f"file://{os.path.abspath(folder)}/{name}")
-    cut(extractions, "extractions").write.mode("overwrite").parquet(f"file://{os.path.abspath(folder)}/extractions")
-    with open(meta, "w", encoding="utf-8") as f:
-        json.dump({"version": VERSION}, f)
+        cut(getattr(graph, name), name).write.mode("overwrite").parquet(f"{_uri(folder)}/{name}")
+    cut(extractions, "extractions").write.mode("overwrite").parquet(f"{_uri(folder)}/extractions")
+    out = fs.create(meta, True)
+    out.write(bytearray(json.dumps({"version": VERSION, "listing": graph.listing}).encode()))
+    out.close()
 
 
-def exists(folder: str) -> bool:
-    return os.path.exists(os.path.join(folder, "_meta.json"))
+def exists(spark: SparkSession, folder: str) -> bool:
+    fs, meta = _file(spark, folder)
+    return fs.exists(meta)
 
 
-def _valid(folder: str) -> bool:
+def _meta(spark: SparkSession, folder: str) -> dict | None:
+    """The version file, or None where there is none that can be read, or one of another version."""
+    fs, meta = _file(spark, folder)
+    if not fs.exists(meta):
+        return None
+    stream = fs.open(meta)
     try:
-        with open(os.path.join(folder, "_meta.json"), encoding="utf-8") as f:
-            return json.load(f).get("version") == VERSION
-    except (OSError, ValueError, AttributeError):
-        return False
+        found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
+        return None
+    finally:
+        stream.close()
+    return found if isinstance(found, dict) and found.get("version") == VERSION else None
 
 
 def load(spark: SparkSession, folder: str) -> CodeGraph | None:
     """None where there is no index, or one of another version."""
-    if not _valid(folder):
+    found = _meta(spark, folder)
+    if found is None:
         return None
-    return CodeGraph(*[spark.read.parquet(f"file://{os.path.abspath(folder)}/{name}") for name in TABLES])
+    return CodeGraph(*[spark.read.parquet(f"{_uri(folder)}/{name}") for name in TABLES], listing=found.get("listing", ""))
 
 
 def load_extractions(spark: SparkSession, folder: str) -> DataFrame | None:
-    return spark.read.parquet(f"file://{os.path.abspath(folder)}/extractions") if _valid(folder) else None
+    return spark.read.parquet(f"{_uri(folder)}/extractions") if _meta(spark, folder) else None

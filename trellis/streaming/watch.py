@@ -85,7 +85,7 @@ class LiveIndex:
         if batch is not None and batch.isEmpty():
             return
         with materialize.recorded() as made:
-            self.graph, self.extractions = store.index(self.spark, self.root, self.extractions)
+            self.graph, self.extractions = store.index(self.spark, self.root, self.extractions, self.graph)
             self.version += 1
             self.publish(self)
         self._steps.append(made)
