@@ -267,31 +267,87 @@ def test_language_model_gradients_and_normalization():
         step[i] = 0.02
         up, down = (lm_score.gradients(lm_score.unpack(flat + s), x, t, mask)[0] for s in (step, -step))
         assert abs((up - down) / 0.04 - whole[i]) < 2e-3 + 0.05 * abs(whole[i])
+
+
+def toy_model(rng):
     counts = rng.integers(0, 50, lm_score.SIZE)
-    classes, shares, sums = lm_score.subword_classes(counts)
-    assert np.allclose(np.bincount(classes, 10**shares, lm_score.CLASSES), 1) and sums.sum() == counts.sum() and classes[lm_score.END] == 0
-    model = lm_score.Model(flat, classes, shares)
-    text = rng.integers(0, lm_score.SIZE, 500).astype(np.uint32)
+    order = lm_score.by_count(counts)
+    of = rng.integers(0, lm_score.CLASSES, lm_score.SIZE)
+    of[order[: lm_score.CLASSES]] = np.arange(lm_score.CLASSES)
+    followers = rng.integers(0, 3, (lm_score.CLASSES + 1, lm_score.SIZE)) * 40
+    flat = lm_score.initial(np.bincount(of, counts, lm_score.CLASSES)) + rng.normal(0, 0.05, len(lm_score.initial(np.ones(lm_score.CLASSES))))
+    return lm_score.Model(flat, lm_score.Classes(of, order), lm_score.shares_by_class(followers, of, counts)), counts
+
+
+def dense_log10(model, ids):
+    """Each token's probability by plain loops over one window from the text's start, with all continuations."""
+    p, c = {k: v.astype(float) for k, v in lm_score.unpack(model.flat).items()}, model.classes
+    norm = lambda v: v / np.sqrt((v * v).mean(-1, keepdims=True) + 1e-5)
+    given = [lm_score.START, *(int(c.inputs[i]) for i in ids)]
+    e = np.array([p["embed"][x] + p["place"][k] for k, x in enumerate(given)])
+    n, out = norm(e), []
+    for k in range(len(given)):
+        a = np.array([np.exp((n[k] @ p["q"]) @ (n[j] @ p["k"]) / math.sqrt(lm_score.DIM)) for j in range(k + 1)])
+        h = e[k] + sum(w * (n[j] @ p["v"]) for j, w in enumerate(a / a.sum())) @ p["o"]
+        z = norm(h + np.maximum(norm(h) @ p["up"], 0) @ p["down"]) @ p["out"] + p["bias"]
+        classes = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        before = int(c.of_id[ids[k - 1]]) if k else lm_score.CLASSES
+        every = classes[c.of_id] * 10.0 ** model.shares[before]
+        assert abs(every.sum() - 1) < 1e-3
+        out.append(math.log10(every[ids[k] if k < len(ids) else lm_score.END]))
+    return np.array(out)
+
+
+def test_language_model_against_a_dense_one():
+    rng = np.random.default_rng(1)
+    model, _ = toy_model(rng)
+    assert [int(model.classes.of_input[i]) for i in model.classes.inputs] == model.classes.of_id.tolist()
+    for n in (0, 1, 30, 47):
+        ids = rng.integers(0, lm_score.SIZE, n)
+        assert abs(model.tokens([ids]) - dense_log10(model, ids)).max() < 1e-3
+    text = rng.integers(0, lm_score.SIZE, 500)
     alone, both = model.tokens([text]), model.tokens([text[:10], text])[11:]
     assert len(alone) == 501 and abs(alone - both).max() < 1e-3
-    whole = model.score([text[:10], text], [np.full(5, 2), np.full(500, 1)], [np.full(6, -90.0), np.full(501, -90.0)])
-    assert abs(whole[1] - (alone.sum() + 501 * math.log10(lm_score.MIX))) < 1e-3
-    p = lm_score.unpack(flat)
-    ids = np.append(text[:30], lm_score.END)
-    z, _ = lm_score.forward(p, np.pad(np.append(lm_score.CLASSES, classes[ids[:-1]]), (0, lm_score.WIDTH - 31))[None])
-    logp = z[0, :31] - np.log(np.exp(z[0, :31]).sum(-1, keepdims=True))
-    want = logp[np.arange(31), classes[ids]].sum() / math.log(10) + shares[ids].sum()
-    assert abs(model.tokens([text[:30]]).sum() - want) < 1e-3
+    # A later token's window begins in the text's midst, with OVERLAP tokens before the first that counts there.
+    start = lm_score.WIDTH - lm_score.OVERLAP
+    assert abs(model.score([text[:10], text])[1] - alone.sum()) < 1e-3 and start == 40
 
 
 def test_language_model_learns():
     """Attention learns a cycle of seven classes far better than their frequencies tell."""
     rng = np.random.default_rng(4)
     windows = (rng.integers(0, 7, (1500, 1)) + np.arange(lm_score.WIDTH + 1)) % 7
-    flat = lm_score.initial(np.bincount(windows.ravel(), minlength=lm_score.CLASSES))
+    flat, of_input = lm_score.initial(np.bincount(windows.ravel(), minlength=lm_score.CLASSES)), np.arange(lm_score.INPUTS + 1) % lm_score.CLASSES
     loss = lambda f: lm_score.gradients(lm_score.unpack(f), windows[:50, :-1], windows[:50, 1:], np.ones((50, lm_score.WIDTH), np.float32))[0]
-    before, after = loss(flat), loss(lm_score.descend(flat, windows, 0))
-    assert before > math.log(7) - 0.3 and after < 0.7
+    made, lost, targets = lm_score.descend(flat, windows, of_input, 0)
+    assert loss(flat) > math.log(7) - 0.3 and loss(made) < 0.7 and targets == windows[:, 1:].size and loss(made) < lost / targets < loss(flat)
+
+
+def test_language_model_counts_and_classes(spark):
+    rng = random.Random(2)
+    texts = [[rng.randrange(200) for _ in range(rng.randrange(12))] for _ in range(30)]
+    rows = spark.createDataFrame([(np.array(t, "<u2").tobytes(),) for t in texts], "ids binary").repartition(3)
+    groups = np.arange(lm_score.SIZE) % 5
+    got, want = lm_score.pair_counts(rows, groups, 5, after=True), np.zeros((11, lm_score.SIZE), np.int64)
+    for t in texts:
+        for a, b in zip([None, *t], [*t, lm_score.END]):
+            want[5 if a is None else a % 5, b] += 1
+            if a is not None:
+                want[6 + b % 5, a] += 1
+    assert (got == want).all() and (lm_score.pair_counts(rows, groups, 5) == want[:6]).all()
+    counts = np.bincount([i for t in texts for i in [*t, lm_score.END]], minlength=lm_score.SIZE)
+    order = lm_score.by_count(counts)
+    beside = np.zeros((2, lm_score.SIZE), np.int64)
+    beside[0, ::2], beside[1, 1::2] = 900, 900  # even and odd ids never share a class
+    of = lm_score.cluster(beside, counts, order)
+    assert of[order[: lm_score.OWN]].tolist() == list(range(lm_score.OWN)) and order[0] == lm_score.END
+    rest = order[lm_score.OWN :]
+    assert not set(of[rest[rest % 2 == 0]]) & set(of[rest[rest % 2 == 1]])
+    words = spark.createDataFrame([(f"w{i}".encode(), 1 + (i % 7) ** 3) for i in range(70)], "key binary, c long")
+    for top in (0, 5, 35, 70, 500):
+        keys, counts = lm_score.frequent_words(words, top)
+        assert len(keys) <= top and (not len(counts) or min(counts) > max([1 + (i % 7) ** 3 for i in range(70) if f"w{i}".encode() not in keys], default=0))
+    assert len(lm_score.frequent_words(words, 70)[0]) == 70 and len(lm_score.frequent_words(words, 35)[0]) == 30
 
 
 def test_language_model_score_depends_on_context(spark):
@@ -305,11 +361,12 @@ def test_language_model_score_depends_on_context(spark):
 
 
 def test_language_model_trains_on_whole_texts(spark):
-    """A text's windows hold all its classes, and an order seen only behind a long opening is learned."""
-    classes = np.arange(500) % lm_score.CLASSES
-    made = [list(w) for w in lm_score.text_windows(classes)]
-    assert [c for w in made for c in w[1:]] == classes.tolist() and made[0][0] == lm_score.CLASSES
-    assert all(len(w) <= lm_score.WIDTH + 1 and w[0] == v[-1] for v, w in zip(made, made[1:]))
+    """A text's windows hold all its ids, and an order seen only behind a long opening is learned."""
+    for n in (1, 47, 48, 49, 500):
+        ids = np.arange(n) % lm_score.INPUTS
+        made = lm_score.text_windows(ids)
+        assert [c for w in made for c in w[1:] if c >= 0] == ids.tolist() and made[0][0] == lm_score.START
+        assert made.shape[1] == lm_score.WIDTH + 1 and all(w[0] == v[-1] for v, w in zip(made, made[1:]))
     rng = random.Random(6)
     noise = lambda: " ".join(f"n{rng.randrange(7)}" for _ in range(60))
     cycle = lambda i: " ".join(f"n{(i + k) % 7}" for k in range(60))
@@ -434,6 +491,24 @@ def test_pii_discovers_unseen_identifiers(spark):
     assert quiet == 84 and sum(out[d]["n_ident"] for d in range(quiet)) == 60
 
 
+def test_language_model_beats_words_frequencies(spark):
+    """Of two languages with words of syllables, held-out texts are likelier under the model than under word counts."""
+    rng = random.Random(9)
+    syllables = (["ka", "lo", "mi", "ne", "tu", "ra", "vo", "si"], ["sch", "ein", "und", "ber", "ung", "ach", "ge", "keit"])
+    frequent = [["the", "of", "was"], ["der", "ist", "von"]]
+    word = lambda k: rng.choice(frequent[k]) if rng.random() < 0.5 else "".join(rng.choice(syllables[k]) for _ in range(rng.randint(2, 4)))
+    rows = [(i, " ".join(word(i % 2) for _ in range(150))) for i in range(400)]
+    out = [r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["held_out"]]
+    per_token = lambda c: sum(r[c] for r in out) / sum(r["n_tokens"] for r in out)
+    assert len(out) > 30 and per_token("score") > per_token("base_score") + 0.05
+
+
+def test_language_model_with_clashing_columns(spark):
+    rows = [(1, "a b", 1, 2, "x", b"y"), (None, None, 1, 2, "x", b"y")]
+    out = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string, row long, score long, part string, `ids.x` binary")).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["held_out"], r["score"] < 0) for r in out} == {1: (3, lm_score.held_out(1), True), None: (1, False, True)}
+
+
 def test_lookup_gives_each_words_subwords():
     rng = random.Random(3)
     pool = ["abc", "dé", "x'll", "123", "…", "\xa0", "a\xa0", "\xa0b", "the", "thebleou", "日本"]

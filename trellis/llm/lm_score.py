@@ -2,25 +2,32 @@
 
 A text is its words, each with one space before it, and an end; the white space as it stood is not modelled, as in the
 base score. One pass over the training documents counts words in each task (all of them; counts are added up in
-Spark). Each distinct word is cut into subwords once, which with its
-count gives the subwords' counts over the corpus. Subwords fall into classes by frequency: the commonest have their
-own, the others share classes of like frequency. The model predicts the next class from the classes before it
-through one block of masked attention; within a class a subword has its smoothed share of the class's counts. So the
-probabilities of all continuations add up to one. A second pass cuts each training text into consecutive windows, in
-which each subword and the end is a target once. Training is data-parallel: in each round every task descends from
-the same parameters over its windows, WINDOWS_A_TASK at a time, and the results are averaged in Spark, weighted by windows.
+Spark). Each distinct word is cut into subwords once, which with its count gives the subwords' counts over the corpus.
+A second pass writes every text's subword ids; all that follows reads these.
+
+The model reads subword ids: the FREQUENT most frequent have an embedding each, others share their class's. It predicts
+the next subword in two steps. One block of masked attention gives the next class; within a class a subword has its
+smoothed share among what followed the class before it. So the probabilities of all continuations add up to one. The
+commonest subwords are classes of their own; the others are clustered by what stands beside them in the corpus, so
+classes part languages and the places within a word. Neighbours and followers are counted over all training texts; the
+tables have as many entries as the vocabulary allows, whatever the corpus.
+
+Each training text is cut into consecutive windows, in which each subword and the end is a target once. Training is
+data-parallel: in a round every task descends from the same parameters over the next of SLOTS parts of its windows, and
+the results are averaged in Spark, weighted by windows. Rounds go on until every window was trained on and the loss of
+windows before they were falls by less than LEAST_GAIN from round to round, at most ROUNDS_MOST.
 
 Scoring cuts a document into overlapping windows; each token is scored once, in a window where at least `OVERLAP`
 tokens stand before it (fewer only at the text's start). Windows of many documents go through the model in batches.
 The score is the sum of its tokens' log10 probabilities.
 
-The base score needs each word's count. The TOP most frequent words are broadcast with their subwords (a fixed bound); a document's other
-words leave the task as (word, occurrences) and meet their counts in an equi-join. The score reads subword counts only,
-which all training words enter, so the bound changes neither.
+The base score needs each word's count. The most frequent words, at most TOP, are broadcast with their subwords; a
+document's other words leave the task as (word, occurrences) and meet their counts in an equi-join. The score reads
+subword counts only, which all training words enter, so the bound changes neither.
 
 Defined cases: a null or empty text is the end token alone; very long texts are more windows; repeated rows are
 scored and counted each; an empty table gives an empty result; a null id is in training (its text for the remainder
-is empty); other columns are not read."""
+is empty); other columns are not read and may have any names."""
 
 from __future__ import annotations
 
@@ -36,20 +43,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from trellis.llm.common import cut
+from trellis.llm.common import col, cut
 from trellis.llm.packing import _byte_letters, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, END = 50257, 50256
-OWN, SHARED = 95, 33  # classes of one subword (the end among them) and of many
+OWN, SHARED = 40, 88  # classes of one subword (the end among them) and of many
 CLASSES = OWN + SHARED
+FREQUENT = 1024  # subwords with an embedding of their own
+INPUTS = FREQUENT + CLASSES
+START = INPUTS  # what stands before a text
+NEIGHBOURS = 96  # subwords that tell clusters apart by standing beside theirs
+PRIOR = 10.0  # occurrences that a class's own shares weigh against the followers of the class before
 WIDTH, OVERLAP = 48, 8
 DIM, HIDDEN = 16, 32
-ROUNDS, BATCH, RATE = 3, 32, 0.01
-WINDOWS_A_TASK = 8192
+BATCH, RATE = 32, 0.01
+SLOTS, LEAST_GAIN, ROUNDS_MOST = 4, 0.003, 40
+WINDOWS_AT_ONCE = 8192
 TOP = 300_000
-#: The attention's part in the score: all of it.
-MIX = 1.0
 SEED = 6
 _BIG = 96  # windows in one forward pass
 
@@ -71,7 +82,7 @@ def _joined(words: list[bytes]) -> str:
 
 def shapes() -> dict[str, tuple[int, ...]]:
     return {
-        "embed": (CLASSES + 1, DIM), "place": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM),
+        "embed": (INPUTS + 1, DIM), "place": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM),
         "up": (DIM, HIDDEN), "down": (HIDDEN, DIM), "out": (DIM, CLASSES), "bias": (CLASSES,),
     }
 
@@ -110,7 +121,7 @@ def _norm_back(g: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
-    """x: (windows, WIDTH) classes -> logits and what the way back needs."""
+    """x: (windows, WIDTH) input ids -> logits of the next classes and what the way back needs."""
     y, rest = hidden(p, x)
     return y @ p["out"] + p["bias"], rest
 
@@ -147,7 +158,7 @@ def infer(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy (nats) over the masked targets, and its gradient."""
+    """Mean cross-entropy (nats) of the masked target classes t after input ids x, and its gradient."""
     z, (x, n, rn, q, k, v, a, c, m, rm, u, y, ry) = forward(p, x)
     z -= z.max(-1, keepdims=True)
     s = np.exp(z)
@@ -180,51 +191,67 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, mask: np.n
     return loss, out
 
 
-def descend(flat: np.ndarray, windows: np.ndarray, seed: int, rate: float = RATE) -> np.ndarray:
-    """One epoch of Adam over windows (n, WIDTH + 1) of classes, -1 behind their ends."""
+def descend(flat: np.ndarray, windows: np.ndarray, of_input: np.ndarray, seed: int, rate: float = RATE) -> tuple[np.ndarray, float, int]:
+    """One pass of Adam over windows (n, WIDTH + 1) of input ids, -1 behind their ends; of_input gives an id's class.
+
+    Also the sum of the losses of all targets, each before the step that it is in, and their number."""
     p = unpack(flat)
     first = {name: np.zeros_like(v) for name, v in p.items()}
     second = {name: np.zeros_like(v) for name, v in p.items()}
     order = np.random.default_rng(seed).permutation(len(windows))
+    lost, targets = 0.0, 0
     for step, at in enumerate(range(0, len(order), BATCH), 1):
         w = windows[order[at : at + BATCH]]
-        t, mask = w[:, 1:], (w[:, 1:] >= 0).astype(np.float32)
-        _, grad = gradients(p, np.maximum(w[:, :-1], 0), np.maximum(t, 0), mask)
+        inside = w[:, 1:] >= 0
+        loss, grad = gradients(p, np.maximum(w[:, :-1], 0), of_input[np.maximum(w[:, 1:], 0)], inside.astype(np.float32))
+        n = int(inside.sum())
+        lost, targets = lost + loss * n, targets + n
         for name, g in grad.items():
             first[name] = 0.9 * first[name] + 0.1 * g
             second[name] = 0.99 * second[name] + 0.01 * g * g
             p[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return pack(p)
+    return pack(p), lost, targets
+
+
+class Classes:
+    """What the model makes of subword ids: of_id, their classes; inputs, what it reads for them; of_input, its class."""
+
+    def __init__(self, of_id: np.ndarray, order: np.ndarray):
+        """order: ids by falling count."""
+        self.of_id = of_id.astype(np.int16)
+        self.inputs = (FREQUENT + self.of_id).astype(np.uint16)
+        self.inputs[order[:FREQUENT]] = np.arange(FREQUENT)
+        self.of_input = np.concatenate([self.of_id[order[:FREQUENT]], np.arange(CLASSES)]).astype(np.int64)
 
 
 class Model:
-    """Parameters, the subwords' classes and their log10 shares within them."""
+    """Parameters, classes, and the log10 shares of subwords within their class, by the class before (CLASSES at the start)."""
 
-    def __init__(self, flat: np.ndarray, classes: np.ndarray, shares: np.ndarray):
+    def __init__(self, flat: np.ndarray, classes: Classes, shares: np.ndarray):
         self.flat, self.classes, self.shares = flat, classes, shares
 
     def tokens(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each subword and end of the texts, one text after the other."""
         if not texts:
             return np.zeros(0)
-        p, inputs, targets, indices, begins, first = unpack(self.flat), [], [], [], [], 0
+        p, rows, indices, begins, befores, first = unpack(self.flat), [], [], [], [], 0
         places = np.arange(WIDTH)
         every_id = np.concatenate([x for ids in texts for x in (ids, [END])]).astype(np.int64)
+        every_class, every_input = self.classes.of_id[every_id].astype(np.int64), self.classes.inputs[every_id].astype(np.int64)
         for ids in texts:
             n = len(ids) + 1
-            c = self.classes[every_id[first : first + n]]
             starts = np.arange(0, max(1, n - OVERLAP), WIDTH - OVERLAP)
-            rows = np.full(starts[-1] + WIDTH + 1, -1, c.dtype)
-            rows[0], rows[1 : n + 1] = CLASSES, c
-            inputs.append(rows[starts[:, None] + places])
-            targets.append(rows[starts[:, None] + places + 1])
+            padded = np.full(starts[-1] + WIDTH + 1, -1, np.int64)
+            padded[0], padded[1 : n + 1] = START, every_input[first : first + n]
+            rows.append(padded[starts[:, None] + np.arange(WIDTH + 1)])
+            befores.append(np.append(CLASSES, every_class[first : first + n - 1]))
             indices.append(first + starts)
             begins.append(np.where(starts > 0, OVERLAP, 0))
             first += n
-        out = self.shares[every_id]
-        x, t, index, begin = map(np.concatenate, (inputs, targets, indices, begins))
-        counted = (t >= 0) & (places >= begin[:, None])
-        x, raised = np.maximum(x, 0), np.exp(p["bias"])
+        out = self.shares[np.concatenate(befores), every_id].astype(np.float64)
+        w, index, begin = map(np.concatenate, (rows, indices, begins))
+        counted = (w[:, 1:] >= 0) & (places >= begin[:, None])
+        x, t, raised = np.maximum(w[:, :-1], 0), self.classes.of_input[np.maximum(w[:, 1:], 0)], np.exp(p["bias"])
         for at in range(0, len(x), _BIG):
             part = counted[at : at + _BIG]
             goal = t[at : at + _BIG][part]
@@ -234,8 +261,8 @@ class Model:
             out[(index[at : at + _BIG, None] + places)[part]] += (hit - every) / math.log(10)
         return out
 
-    def score(self, texts: list[np.ndarray], sizes: list[np.ndarray] | None = None, shares: list[np.ndarray] | None = None) -> np.ndarray:
-        """log10 probability of each text, given as its subword ids; the words' sizes and shares don't enter."""
+    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each text, given as its subword ids."""
         if not texts:
             return np.zeros(0)
         n = np.array([len(ids) + 1 for ids in texts])
@@ -266,32 +293,12 @@ def _count(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, "key binary, n long")
 
 
-def text_windows(classes: np.ndarray) -> list[bytes]:
-    """Windows of WIDTH + 1 classes, a byte each, of a text's classes with the end's: each is a target in one of them."""
-    rows = np.append(CLASSES, classes).astype(np.uint8).tobytes()
-    return [rows[at : at + WIDTH + 1] for at in range(0, len(rows) - 1, WIDTH)]
-
-
-def _windows(rows: DataFrame, shared) -> DataFrame:
-    """Every training text's windows. shared: a broadcast of (Lookup, classes)."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes = shared.value
-        out = []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held_out(doc):
-                    continue
-                words = _words(text.as_py())
-                ids = known.subwords(words, known.numbers(words))[0]
-                out += text_windows(classes[np.append(ids, np.uint32(END))])
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["key"])
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["key"])
-
-    return rows.mapInArrow(task, "key binary")
+def text_windows(inputs: np.ndarray) -> np.ndarray:
+    """Windows (n, WIDTH + 1) of a text's input ids with the end's, -1 behind its end: each is a target in one of them."""
+    n = -(-len(inputs) // WIDTH)
+    rows = np.full(n * WIDTH + 1, -1, np.int64)
+    rows[0], rows[1 : len(inputs) + 1] = START, inputs
+    return rows[np.arange(0, n * WIDTH, WIDTH)[:, None] + np.arange(WIDTH + 1)]
 
 
 class Lookup:
@@ -371,69 +378,144 @@ def subword_counts(words: DataFrame, vocabulary: str) -> np.ndarray:
     return out
 
 
-def subword_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each id, its log10 share in it, counts of the classes): by falling count, then by id."""
+def _ids(column: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each text, with the end."""
+    for x in column:
+        yield np.append(np.frombuffer(x.as_buffer(), "<u2"), np.uint16(END)).astype(np.int64)
+
+
+def pair_counts(texts: DataFrame, groups: np.ndarray, n: int, after: bool = False) -> np.ndarray:
+    """texts (ids), groups (the group of each id, below n) -> how often each id follows each group, the text's start as
+    group n; with `after`, below that how often each id stands before each group.
+
+    A task adds up one table, n + 1 or 2 n + 1 rows of SIZE counts, and sends what isn't 0; no more comes to the driver."""
+    shared, rows = texts.sparkSession.sparkContext.broadcast(groups), 2 * n + 1 if after else n + 1
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total = shared.value.astype(np.int64), None
+        for batch in batches:
+            codes = []
+            for ids in _ids(batch.column(0)):
+                codes.append(np.append(n, group[ids[:-1]]) * SIZE + ids)
+                if after:
+                    codes.append((n + 1 + group[ids[1:]]) * SIZE + ids[:-1])
+            made, counts = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_counts=True)
+            total = np.zeros(rows * SIZE, np.int64) if total is None else total
+            total[made] += counts
+        if total is not None:
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["code", "n"])
+
+    out = np.zeros(rows * SIZE, np.int64)
+    got = texts.mapInArrow(task, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("code").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(rows, SIZE)
+
+
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """Ids by falling count, then by id; the end comes first."""
     order = np.lexsort((np.arange(SIZE), -counts))
-    order = np.concatenate([[END], order[order != END]])
-    classes = np.empty(SIZE, np.int16)
-    classes[order[:OWN]] = np.arange(OWN)
+    return np.concatenate([[END], order[order != END]])
+
+
+def neighbour_groups(order: np.ndarray) -> np.ndarray:
+    """The most frequent ids have a group each, all others one."""
+    out = np.full(SIZE, NEIGHBOURS, np.int16)
+    out[order[:NEIGHBOURS]] = np.arange(NEIGHBOURS)
+    return out
+
+
+def cluster(beside: np.ndarray, counts: np.ndarray, order: np.ndarray, rounds: int = 15) -> np.ndarray:
+    """The class of each id: the first OWN in order have their own; the others are grouped by weighted k-means over the
+    square roots of their smoothed shares of neighbours. beside: how often ids stand beside each group."""
+    of = np.zeros(SIZE, np.int64)
+    of[order[:OWN]] = np.arange(OWN)
     rest = order[OWN:]
-    mass = np.cumsum(counts[rest] + 1.0)
-    classes[rest] = OWN + np.minimum(SHARED - 1, (mass - 1) / mass[-1] * SHARED).astype(int)
-    sums = np.bincount(classes, counts, CLASSES)
-    sizes = np.bincount(classes, minlength=CLASSES)
-    return classes, np.log10((counts + 1) / (sums + sizes)[classes]), sums
-
-
-def train(windows: DataFrame, sums: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Rounds of local descent from shared parameters and their average, weighted by windows."""
-    spark = windows.sparkSession
-    n = windows.count()
-    flat = initial(sums)
-    if not n:
-        return flat
-    dealt = cut(windows.repartition(max(1, -(-n // WINDOWS_A_TASK))), "windows")
-    for round_ in range(rounds):
-        shared = spark.sparkContext.broadcast(flat)
+    sides = beside.T[rest].astype(np.float64)
+    mean = beside.sum(1) / max(1, beside.sum())
+    points = np.sqrt((sides + 16 * mean) / (sides.sum(1) + 16)[:, None])
+    weight = counts[rest] + 0.1
+    centres = points[:SHARED].copy()
+    for _ in range(rounds):
+        near = ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
+        for k in range(SHARED):
+            inside = near == k
+            if inside.any():
+                centres[k] = np.average(points[inside], axis=0, weights=weight[inside])
+    of[rest] = OWN + near
+    return of
+
+
+def shares_by_class(followers: np.ndarray, of: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(CLASSES + 1, SIZE) log10 shares of ids within their class after each class; followers: pair_counts by class."""
+    alone = (counts + 1) / (np.bincount(of, counts, CLASSES) + np.bincount(of, minlength=CLASSES))[of]
+    out = np.empty((CLASSES + 1, SIZE), np.float32)
+    for before in range(CLASSES + 1):
+        out[before] = np.log10((followers[before] + PRIOR * alone) / (np.bincount(of, followers[before], CLASSES) + PRIOR)[of])
+    return out
+
+
+def train(texts: DataFrame, classes: Classes, sums: np.ndarray) -> np.ndarray:
+    """texts (ids) -> parameters, after rounds of local descent from shared parameters and their average."""
+    spark = texts.sparkSession
+    flat, before = initial(sums), math.inf
+    for round_ in range(ROUNDS_MOST):
+        shared = spark.sparkContext.broadcast((flat, classes))
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
-            made, count, keys = shared.value, 0, []
-            for batch in chain(batches, [None]):  # the last is what is left
-                keys += batch.column(0).to_pylist() if batch is not None else []
-                while len(keys) >= WINDOWS_A_TASK or (batch is None and keys):
-                    now, keys = sorted(keys[:WINDOWS_A_TASK]), keys[WINDOWS_A_TASK:]
-                    w = np.full((len(now), WIDTH + 1), -1, np.int64)
-                    for i, key in enumerate(now):
-                        w[i, : len(key)] = np.frombuffer(key, np.uint8)
-                    made, count = descend(made, w, round_), count + len(now)
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(made), dtype=np.int32)), pa.array(made * count), pa.array(np.full(len(made), count, np.int64))], names=["i", "v", "w"])
-
-        parts = dealt.mapInArrow(task, "i int, v double, w long").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
-        flat = np.round(np.array([r["v"] for r in sorted(parts.collect(), key=lambda r: r["i"])]), 7)
+            (made, known), seen, held, n = shared.value, 0, [], 0
+            lost = targets = windows = 0
+            for ids in chain((x for batch in batches for x in _ids(batch.column(0))), [None]):  # the last is what is left
+                if ids is not None:
+                    every = text_windows(known.inputs[ids])
+                    mine = every[(round_ - seen) % SLOTS :: SLOTS]
+                    seen += len(every)
+                    held.append(mine)
+                    n += len(mine)
+                if n >= WINDOWS_AT_ONCE or (ids is None and n):
+                    w, held, n = np.concatenate(held), [], 0
+                    made, a, b = descend(made, w, known.of_input, round_)
+                    lost, targets, windows = lost + a, targets + b, windows + len(w)
+            if windows:
+                values = np.concatenate([made * windows, [lost, targets]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), windows, np.int64))], names=["i", "v", "w"])
+
+        got = texts.mapInArrow(task, "i int, v double, w long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).toArrow().sort_by("i")
+        if not got.num_rows:  # no window is in this part
+            if round_ + 1 >= SLOTS and before == math.inf:
+                break
+            continue
+        v, w = got.column("v").to_numpy(), got.column("w").to_numpy()
+        flat = np.round(v[:-2] / w[:-2], 7)
+        loss = v[-2] / v[-1]
+        if round_ + 1 >= SLOTS and loss > before * (1 - LEAST_GAIN):
+            break
+        before = loss
     return flat
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, top: int = TOP) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = cut(_count(rows).groupBy("key").agg(F.sum("n").alias("c")), "words")
-    tokens, types = words.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = words.where("key is null").select("c").first()
-    ends = ends["c"] if ends else 0
-    subwords = subword_counts(words, vocabulary)
-    classes, shares, sums = subword_classes(subwords)
-    common = words.where("key is not null").orderBy(F.desc("c"), "key").limit(top).toArrow()
-    known = Lookup(common.column("key").to_pylist(), common.column("c").to_numpy(), vocabulary)
-    del common
-    held = spark.sparkContext.broadcast((known, classes))
-    model = Model(train(cut(_windows(rows, held), "texts"), sums), classes, shares)
-    shared = spark.sparkContext.broadcast((model, known))
-    end_part, below = math.log10(ends + 1), math.log10(tokens + types + 1)
+def frequent_words(words: DataFrame, top: int) -> tuple[list[bytes], np.ndarray]:
+    """Words (key, c) with the greatest counts, at most top: all from that count on from which there are no more.
+
+    Counts fall into some hundred classes by their logarithm, so this needs no sort."""
+    level = F.floor(F.log2("c") * 8)
+    levels = sorted(((r["l"], r["n"]) for r in words.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for l, n in levels:
+        if held + n > top:
+            break
+        least, held = l, held + n
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    got = words.where(level >= least).toArrow().sort_by("key")
+    return got.column("key").to_pylist(), got.column("c").to_numpy()
+
+
+def _tokens(rows: DataFrame, shared, vocabulary: str) -> DataFrame:
+    """Every text as subword ids, with what the base score needs. shared: a broadcast of (Lookup, the end's count)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
+        known, ends = shared.value
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
@@ -444,9 +526,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     words = _words(text.as_py())
                     numbers = known.numbers(words)
                     other = numbers < 0
-                    value = known.value[numbers]  # 0 for words that aren't held
-                    ids.append(known.subwords(words, numbers)[0])
-                    parts.append(end_part + float(value.sum()))
+                    ids.append(known.subwords(words, numbers)[0].astype("<u2").tobytes())
+                    parts.append(math.log10(ends + 1) + float(known.value[numbers].sum()))  # 0 for words that aren't held
                     tokens.append(len(words) + 1)
                     seen.append(len(words) - int(other.sum()) + int(ends > 0))
                     counts = Counter([words[i] for i in np.flatnonzero(other).tolist()])
@@ -454,20 +535,54 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     times += counts.values()
                     ends_at.append(len(rare))
                 listed = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["w", "n"]))
-                arrays = [np.arange(row, row + len(docs)), docs, [held_out(d) for d in docs], tokens, seen, parts, listed, model.score(ids)]
+                arrays = [np.arange(row, row + len(docs)), docs, [held_out(d) for d in docs], tokens, seen, parts, listed, ids]
                 row += len(docs)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
 
     schema = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("part", pa.float64()),
-        ("rare", pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))), ("score", pa.float64()),
+        ("rare", pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))), ("ids", pa.binary()),
     ])
-    scored = cut(rows.mapInArrow(task, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, rare array<struct<w:binary,n:long>>, score double"), "scored")
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("key"), "x.n")
+    return rows.mapInArrow(task, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, rare array<struct<w:binary,n:long>>, ids binary")
+
+
+def learn(texts: DataFrame, counts: np.ndarray) -> Model:
+    """texts (ids) of training documents, and the counts of subwords in them -> the model."""
+    order = by_count(counts)
+    of = cluster(pair_counts(texts, neighbour_groups(order), NEIGHBOURS + 1, after=True), counts, order)
+    classes = Classes(of, order)
+    shares = shares_by_class(pair_counts(texts, classes.of_id, CLASSES), of, counts)
+    return Model(train(texts, classes, np.bincount(of, counts, CLASSES)), classes, shares)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, top: int = TOP) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    spark = docs.sparkSession
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    words = cut(_count(rows).groupBy("key").agg(F.sum("n").alias("c")), "words")
+    total, types = words.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ends = words.where("key is null").select("c").first()
+    ends = ends["c"] if ends else 0
+    subwords = subword_counts(words, vocabulary)
+    known = Lookup(*frequent_words(words.where("key is not null"), top), vocabulary)
+    texts = cut(_tokens(rows, spark.sparkContext.broadcast((known, ends)), vocabulary), "tokens")
+    shared = spark.sparkContext.broadcast(learn(texts.where("not held_out").select("ids"), subwords))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                made = model.score([ids[:-1] for ids in _ids(batch.column(1))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64()), *batch.columns[2:]], names=["row", "score", *names])
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "part"]
+    scored = texts.select("row", "ids", *names).mapInArrow(task, "row long, score double, doc_id long, held_out boolean, n_tokens long, n_known long, part double")
+    rare = texts.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("key"), "x.n")
     rare = rare.join(words.where("key is not null"), "key").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("add"))
-    out = scored.drop("rare").join(rare, "row", "left")
-    base = F.col("part") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * below
+    out = cut(scored, "scored").join(rare, "row", "left")
+    base = F.col("part") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + types + 1)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
     )
