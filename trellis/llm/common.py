@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trellis.operators import kernels, materialize
 
@@ -18,17 +21,23 @@ HOT_PARTS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send at most BATCH_ROWS rows at once to Python workers."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows as Parquet in the shared folder and go on from the files.
 
     The lineage ends there, so a lost executor costs no more than the tasks after this step."""
-    conf = df.sparkSession.conf
-    before = conf.get(_BATCH)
-    conf.set(_BATCH, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
-    try:
+    with small_batches(df.sparkSession):
         return materialize.cut(df, name)
-    finally:
-        conf.set(_BATCH, before)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from trellis.llm.common import col, cut
+from trellis.llm.common import col, cut, small_batches
 from trellis.llm.packing import _byte_letters, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -87,15 +87,20 @@ def shapes() -> dict[str, tuple[int, ...]]:
     }
 
 
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters by name, as parts of one vector."""
     out, at = {}, 0
     for name, shape in shapes().items():
         n = math.prod(shape)
-        out[name] = flat[at : at + n].reshape(shape).astype(np.float32)
+        out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
+def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    return views(flat.astype(np.float32))
+
+
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[name].ravel() for name in shapes()]).astype(np.float64)
 
@@ -120,27 +125,37 @@ def _norm_back(g: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
     return r * (g - y * (np.einsum("...i,...i->...", g, y)[..., None] / DIM))
 
 
+def _mul(b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """b @ w as one product of matrices."""
+    return (b.reshape(-1, b.shape[-1]) @ w).reshape(*b.shape[:-1], w.shape[1])
+
+
 def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     """x: (windows, WIDTH) input ids -> logits of the next classes and what the way back needs."""
     y, rest = hidden(p, x)
-    return y @ p["out"] + p["bias"], rest
+    return _mul(y, p["out"]) + p["bias"], rest
+
+
+_SCALE = np.float32(1 / math.sqrt(DIM))
+_ONES = {n: np.ones(n, np.float32) for n in (WIDTH, CLASSES)}  # sums over the last axis are products with these
 
 
 def hidden(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     """What the output layer reads."""
     e = p["embed"][x] + p["place"]
     n, rn = _norm(e)
-    q, k, v = n @ p["q"], n @ p["k"], n @ p["v"]
-    a = np.exp((q @ k.transpose(0, 2, 1)) * np.float32(1 / math.sqrt(DIM)))
+    q, k, v = _mul(n, p["q"] * _SCALE), _mul(n, p["k"]), _mul(n, p["v"])
+    a = q @ k.transpose(0, 2, 1)
+    np.exp(a, out=a)
     a *= _MASK
-    a /= a.sum(-1, keepdims=True)
+    a *= (1 / (a @ _ONES[WIDTH]))[..., None]
     c = a @ v
-    h = e + c @ p["o"]
+    h = e + _mul(c, p["o"])
     m, rm = _norm(h)
-    u = np.maximum(m @ p["up"], 0)
-    g = h + u @ p["down"]
+    u = np.maximum(_mul(m, p["up"]), 0)
+    g = h + _mul(u, p["down"])
     y, ry = _norm(g)
-    return y, (x, n, rn, q, k, v, a, c, m, rm, u, y, ry)
+    return y, (n, rn, q, k, v, a, c, m, rm, u, y, ry)
 
 
 def infer(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -148,46 +163,57 @@ def infer(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     e = p["embed"][x] + p["place"]
     n = _norm(e)[0]
     v = np.ones((*x.shape, DIM + 1), np.float32)
-    v[..., :DIM] = n @ p["v"]
-    a = (n @ (p["q"] * np.float32(1 / math.sqrt(DIM)))) @ (n @ p["k"]).transpose(0, 2, 1)
+    v[..., :DIM] = _mul(n, p["v"])
+    a = _mul(n, p["q"] * _SCALE) @ _mul(n, p["k"]).transpose(0, 2, 1)
     np.exp(a, out=a)
     a *= _MASK
     c = a @ v
-    h = e + (c[..., :DIM] / c[..., DIM:]) @ p["o"]
-    return _norm(h + np.maximum(_norm(h)[0] @ p["up"], 0) @ p["down"])[0]
-
-
-def gradients(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy (nats) of the masked target classes t after input ids x, and its gradient."""
-    z, (x, n, rn, q, k, v, a, c, m, rm, u, y, ry) = forward(p, x)
-    z -= z.max(-1, keepdims=True)
-    s = np.exp(z)
-    s /= s.sum(-1, keepdims=True)
-    total = max(1.0, float(mask.sum()))
-    hit = np.take_along_axis(s, t[..., None], -1)[..., 0]
-    loss = -float((np.log(hit + 1e-30) * mask).sum()) / total
-    d = s
-    np.put_along_axis(d, t[..., None], hit[..., None] - 1, -1)
-    d *= (mask / total)[..., None]
+    h = e + _mul(c[..., :DIM] / c[..., DIM:], p["o"])
+    return _norm(h + _mul(np.maximum(_mul(_norm(h)[0], p["up"]), 0), p["down"]))[0]
+
+
+def _summed_by(ids: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """out[i] becomes the sum of the rows of each id."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    out[ids[starts]] = np.add.reduceat(rows[order], starts)
+
+
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, mask: np.ndarray, out: dict[str, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy (nats) of the masked target classes t after input ids x, and its gradient (into out, if given).
+
+    Logits stay far below what exp can take, as y has a fixed length, so none is subtracted from them."""
+    out = {name: np.empty(shape, np.float32) for name, shape in shapes().items()} if out is None else out
+    z, (n, rn, q, k, v, a, c, m, rm, u, y, ry) = forward(p, x)
     rows = lambda b: b.reshape(-1, b.shape[-1])
-    out = {"out": rows(y).T @ rows(d), "bias": rows(d).sum(0)}
-    dg = _norm_back(d @ p["out"].T, y, ry)
-    out["down"] = rows(u).T @ rows(dg)
-    du = (dg @ p["down"].T) * (u > 0)
-    out["up"] = rows(m).T @ rows(du)
-    dh = dg + _norm_back(du @ p["up"].T, m, rm)
-    out["o"] = rows(c).T @ rows(dh)
-    dc = dh @ p["o"].T
-    da = dc @ v.transpose(0, 2, 1)
+    d, mask = np.exp(rows(z), out=rows(z)), mask.ravel()
+    total, every, at = max(1.0, float(mask.sum())), d @ _ONES[CLASSES], (np.arange(len(d)), t.ravel())
+    loss = -float((np.log(d[at] / every + 1e-30) * mask).sum()) / total
+    weight = mask * np.float32(1 / total)
+    d *= (weight / every)[:, None]
+    d[at] -= weight
+    np.matmul(rows(y).T, d, out=out["out"])
+    np.sum(d, 0, out=out["bias"])
+    dg = _norm_back((d @ p["out"].T).reshape(y.shape), y, ry)
+    np.matmul(rows(u).T, rows(dg), out=out["down"])
+    du = _mul(dg, p["down"].T)
+    du *= u > 0
+    np.matmul(rows(m).T, rows(du), out=out["up"])
+    dh = dg + _norm_back(_mul(du, p["up"].T), m, rm)
+    np.matmul(rows(c).T, rows(dh), out=out["o"])
+    dc = _mul(dh, p["o"].T)
+    ds = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(1 / math.sqrt(DIM))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+    ds *= a
+    dq, dk = (ds @ k) * _SCALE, ds.transpose(0, 2, 1) @ q
     for name, b in (("q", dq), ("k", dk), ("v", dv)):
-        out[name] = rows(n).T @ rows(b)
-    de = dh + _norm_back(dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T, n, rn)
-    out["place"] = de.sum(0)
-    out["embed"] = np.zeros_like(p["embed"])
-    np.add.at(out["embed"], x.ravel(), rows(de))
+        np.matmul(rows(n).T, rows(b), out=out[name])
+    de = dh + _norm_back(_mul(dq, p["q"].T) + _mul(dk, p["k"].T) + _mul(dv, p["v"].T), n, rn)
+    np.sum(de, 0, out=out["place"])
+    out["embed"].fill(0)
+    _summed_by(x.ravel(), rows(de), out["embed"])
     return loss, out
 
 
@@ -195,22 +221,25 @@ def descend(flat: np.ndarray, windows: np.ndarray, of_input: np.ndarray, seed: i
     """One pass of Adam over windows (n, WIDTH + 1) of input ids, -1 behind their ends; of_input gives an id's class.
 
     Also the sum of the losses of all targets, each before the step that it is in, and their number."""
-    p = unpack(flat)
-    first = {name: np.zeros_like(v) for name, v in p.items()}
-    second = {name: np.zeros_like(v) for name, v in p.items()}
+    whole, grads, first, second = flat.astype(np.float32), *(np.zeros(len(flat), np.float32) for _ in range(3))
+    p, g = views(whole), views(grads)
     order = np.random.default_rng(seed).permutation(len(windows))
     lost, targets = 0.0, 0
     for step, at in enumerate(range(0, len(order), BATCH), 1):
         w = windows[order[at : at + BATCH]]
         inside = w[:, 1:] >= 0
-        loss, grad = gradients(p, np.maximum(w[:, :-1], 0), of_input[np.maximum(w[:, 1:], 0)], inside.astype(np.float32))
+        loss, _ = gradients(p, np.maximum(w[:, :-1], 0), of_input[np.maximum(w[:, 1:], 0)], inside.astype(np.float32), g)
         n = int(inside.sum())
         lost, targets = lost + loss * n, targets + n
-        for name, g in grad.items():
-            first[name] = 0.9 * first[name] + 0.1 * g
-            second[name] = 0.99 * second[name] + 0.01 * g * g
-            p[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return pack(p), lost, targets
+        first += np.float32(0.1) * (grads - first)
+        grads *= grads
+        second += np.float32(0.01) * (grads - second)
+        np.sqrt(second * np.float32(1 / (1 - 0.99**step)), out=grads)
+        grads += np.float32(1e-6)
+        np.divide(first, grads, out=grads)
+        grads *= np.float32(rate / (1 - 0.9**step))
+        whole -= grads
+    return whole.astype(np.float64), lost, targets
 
 
 class Classes:
@@ -394,14 +423,15 @@ def pair_counts(texts: DataFrame, groups: np.ndarray, n: int, after: bool = Fals
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, total = shared.value.astype(np.int64), None
         for batch in batches:
-            codes = []
-            for ids in _ids(batch.column(0)):
-                codes.append(np.append(n, group[ids[:-1]]) * SIZE + ids)
-                if after:
-                    codes.append((n + 1 + group[ids[1:]]) * SIZE + ids[:-1])
-            made, counts = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_counts=True)
             total = np.zeros(rows * SIZE, np.int64) if total is None else total
-            total[made] += counts
+            for at in range(0, batch.num_rows, 64):
+                codes = [np.empty(0, np.int64)]
+                for ids in _ids(batch.column(0).slice(at, 64)):
+                    codes.append(np.append(n, group[ids[:-1]]) * SIZE + ids)
+                    if after:
+                        codes.append((n + 1 + group[ids[1:]]) * SIZE + ids[:-1])
+                made, counts = np.unique(np.concatenate(codes), return_counts=True)
+                total[made] += counts
         if total is not None:
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["code", "n"])
@@ -566,7 +596,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     subwords = subword_counts(words, vocabulary)
     known = Lookup(*frequent_words(words.where("key is not null"), top), vocabulary)
     texts = cut(_tokens(rows, spark.sparkContext.broadcast((known, ends)), vocabulary), "tokens")
-    shared = spark.sparkContext.broadcast(learn(texts.where("not held_out").select("ids"), subwords))
+    with small_batches(spark):
+        shared = spark.sparkContext.broadcast(learn(texts.where("not held_out").select("ids"), subwords))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
