@@ -1,6 +1,7 @@
 """The operators' own interfaces: general parameters, defined cases, and what queries leave out."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -47,6 +48,18 @@ def test_quality_ledger_policies_and_ablation(spark):
     assert kept.columns == [c.split()[0] for c in CLASH.split(", ")] and kept.count() == 2
 
 
+def test_quality_with_colliding_hashes(spark, monkeypatch):
+    """Where windows share hashes, equal ones are still found."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (3, 4, 9, 30, 60, 120)] + ["a b c", "x y", "", "q w e r t q w e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: brute.quality(t)[4] for i, t in enumerate(texts)}
+    real = F.expr
+    for bits in (64, 2, 0):
+        monkeypatch.setattr(quality.F, "expr", lambda e, bits=bits: real(e.replace("xxhash64(w[i], w[i + 1], w[i + 2])", f"(xxhash64(w[i], w[i + 1], w[i + 2]) & {(1 << bits) - 1 if bits < 64 else -1}L)")))
+        assert {r["doc_id"]: r["n_repeat_words"] for r in quality.measure(docs).collect()} == want, bits
+
+
 def test_line_dedup_edits_texts(spark):
     a, b, c = ("first line of ten words one two three four five", "second line of ten words one two three four five", "third line of ten words one two three four five")
     rows = [(1, f"x\n{a}\n\n{b}\n{c}\ny"), (2, f"p\n{a}\n{b}\n \n{c}"), (3, f"{a}\n{b}"), (4, f"{a}\n{b}\n{c}"), (5, None), (6, ""), (None, f"{c}\n{a}\n{b}\n{c}")]
@@ -202,6 +215,20 @@ def test_encoder_is_that_of_the_vocabulary():
         assert encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_all_documents():
+    """The ids of every text of the driver's smallest tables, by the vocabulary's own library in batches."""
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables here")
+    texts = [r[0] or "" for r in duckdb.connect().execute("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
+    encode = packing.encoder("byte_bpe_50k.json")
+    assert all(encode(t).tolist() == e.ids for t, e in zip(texts, slow, strict=True)) and len(texts) >= 1000
+
+
 def test_license_templates(spark):
     long = "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated documentation files (the Software)"
     rows = [(1, f"code\n{long}\nend"), (2, "permission is granted to any person"), (3, "LICENSED under the APACHE license; version 2.0"), (4, None)]

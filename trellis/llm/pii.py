@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from trellis.llm.common import WS, WS_CHARS, ascii_lower, col, cut
+from trellis.llm.common import WS, WS_CHARS, ascii_lower, col, cut, join_groups
 from trellis.operators.materialize import done_with
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -150,17 +150,17 @@ def occurrences(rows: DataFrame) -> DataFrame:
 def score_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
     """edges (pattern, instance, n, seed, fits), distinct by the first two; totals (pattern, total)
     -> (pattern, confidence, support): support counts the instances that are more likely identifiers than not."""
-    known = edges.groupBy("instance").agg(F.max("seed").alias("is_seed"), F.max("fits").alias("may"))
-    edges = edges.select("pattern", "instance", "n").join(known, "instance").join(totals, "pattern", "left")
-    edges = cut(edges, "graph")
+    known = cut(edges.groupBy("instance").agg(F.max("seed").alias("is_seed"), F.max("fits").alias("may"), F.count("*").alias("degree")), "instances")
+    edges = join_groups(edges.select("pattern", "instance", "n"), known, ["instance"], "degree").join(totals, "pattern", "left")
+    edges = cut(edges.drop("degree"), "graph")
     first = F.col("pattern").isin(secret_patterns())
     patterns = cut(edges.select("pattern").distinct().select("pattern", F.when(first, 1.0).otherwise(0.0).alias("confidence"), F.lit(0).cast("long").alias("support")), "patterns")
     while True:
         doubt = F.log(1 - F.least("confidence", F.lit(0.999)))
         trusted = patterns.where((F.col("support") >= MIN_SUPPORT) | first).select("pattern", doubt.alias("doubt"))
         held = edges.join(trusted, "pattern", "left").withColumn("doubt", F.coalesce("doubt", F.lit(0.0)))
-        all_ = held.groupBy("instance").agg(F.sum("doubt").alias("sum"))
-        held = held.join(all_, "instance")
+        sums = cut(held.groupBy("instance").agg(F.sum("doubt").alias("sum"), F.count("*").alias("degree")), "doubts")
+        held = join_groups(held, sums, ["instance"], "degree")
         c = F.when(F.col("is_seed"), 1.0).when(~F.col("may"), 0.0).otherwise(1 - F.exp(F.col("sum") - F.col("doubt")))
         held = held.withColumn("c", c).withColumn("open", F.when(F.col("is_seed") | ~F.col("may"), 0.0).otherwise(1 - F.col("c")))
         sure = F.sum(F.col("n") * F.col("c"))
@@ -169,7 +169,7 @@ def score_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
         new = new.select("pattern", F.when(first, 1.0).otherwise(F.col("found")).alias("confidence"), "support")
         new = cut(new.join(patterns.select("pattern", F.col("confidence").alias("before")), "pattern"), "patterns")
         growth = new.agg(F.max(F.col("confidence") - F.col("before"))).first()[0]
-        done_with(patterns)
+        done_with(patterns, sums)
         patterns = new
         if growth is None or growth <= STEP:
             return patterns.select("pattern", "confidence", "support")

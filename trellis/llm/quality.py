@@ -94,22 +94,30 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stage
 
 
+def _covered(places: str) -> str:
+    """SQL: how many words lie in three-word windows that begin at the sorted places."""
+    return f"aggregate({places}, named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last)), a -> a.n)"
+
+
 def _repeated() -> Column:
     """Words in three-word windows that the text holds twice or more.
 
-    Neighbours in the sorted hashes are compared by hash and then word for word, so a shared hash adds nothing."""
+    Neighbours in the sorted hashes are compared by hash and then word for word. A text in which different windows share
+    a hash, which may stand between equal ones, is done again with its windows sorted by their words."""
     at = "cast({0} & (shiftleft(1L, s) - 1) as int)"
-    same = (
-        "shiftrightunsigned({0}, s) = shiftrightunsigned({1}, s) and w[{a}] = w[{b}] and w[{a} + 1] = w[{b} + 1] and w[{a} + 2] = w[{b} + 2]"
-    )
+    words = "w[{a}] = w[{b}] and w[{a} + 1] = w[{b} + 1] and w[{a} + 2] = w[{b} + 2]"
+    hashes = "shiftrightunsigned(x, s) = shiftrightunsigned({0}, s)"
     before, after = "get(h, j - 1)", "get(h, j + 1)"
-    pair = lambda y: "(" + same.format("x", y, a=at.format("x"), b=at.format(y)) + ")"
+    alike = lambda y: words.format(a=at.format("x"), b=at.format(y))
+    pair = lambda y: f"({hashes.format(y)} and {alike(y)})"
     hit = f"filter(h, (x, j) -> (j > 0 and {pair(before)}) or (j < size(h) - 1 and {pair(after)}))"
-    places = f"sort_array(transform({hit}, x -> x & (shiftleft(1L, s) - 1)))"
-    return F.expr(
-        f"aggregate({places}, named_struct('last', -3L, 'n', 0L),"
-        " (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last)), a -> a.n)"
-    )
+    fast = _covered(f"sort_array(transform({hit}, x -> x & (shiftleft(1L, s) - 1)))")
+    collisions = f"size(filter(h, (x, j) -> j > 0 and {hashes.format(before)} and not ({alike(before)})))"
+    sorted_ = "sort_array(transform(sequence(0, size(w) - 3), i -> named_struct('a', w[i], 'b', w[i + 1], 'c', w[i + 2], 'i', cast(i as bigint))))"
+    same = "(x.a = {0}.a and x.b = {0}.b and x.c = {0}.c)"
+    exact = f"filter(v, (x, j) -> (j > 0 and {same.format('get(v, j - 1)')}) or (j < size(v) - 1 and {same.format('get(v, j + 1)')}))"
+    slow = _covered(f"sort_array(transform(flatten(transform(array({sorted_}), v -> {exact})), x -> x.i))")
+    return F.expr(f"case when {collisions} > 0 then {slow} else {fast} end")
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
