@@ -134,6 +134,26 @@ def test_strong_components_without_a_local_finish(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
 
 
+def quality(n, links, group):
+    inside = sum(group[a] == group[b] for a, b in links) / len(links)
+    mass = Counter(group[x] for link in links for x in link)
+    return inside - sum((m / (2 * len(links))) ** 2 for m in mass.values())
+
+
+def test_parallel_communities(spark):
+    """Groups that are plain to see are found; on random graphs modularity is near that of one move at a time."""
+    files = spark.range(12).withColumnRenamed("id", "file_id")
+    cliques = [(a, b) for base in (0, 5) for a in range(base, base + 5) for b in range(base, a)] + [(0, 5)]
+    got = {r["file_id"]: r["community"] for r in kernels.parallel_communities(files, spark.createDataFrame(cliques, "src long, dst long")).collect()}
+    assert got == {i: 0 if i < 5 else 1 if i < 10 else i - 8 for i in range(12)}
+    rng = random.Random(6)
+    links = [(a, b) for a in range(60) for b in range(a) if rng.random() < (0.4 if a // 15 == b // 15 else 0.02)]
+    edges, files = spark.createDataFrame(links, "src long, dst long"), spark.range(60).withColumnRenamed("id", "file_id")
+    found = {r["file_id"]: r["community"] for r in kernels.parallel_communities(files, edges).collect()}
+    exact = {r["file_id"]: r["community"] for r in kernels.communities(files, edges).collect()}
+    assert len(found) == 60 and quality(60, links, found) > 0.9 * quality(60, links, exact)
+
+
 def best_communities(n, links):
     """Modularity by exact fractions of the whole partition: nodes in order move to the smallest best community."""
     group, total = {i: i for i in range(n)}, 2 * len(links)

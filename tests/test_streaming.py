@@ -13,7 +13,8 @@ def test_changes_and_live_index(spark, tmp_path):
         seen.append({(r["path"], r["action"]) for r in batch.collect()})
         live.refresh(batch)
 
-    query = watch.changes(spark, root).writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).start()
+    start = lambda: watch.changes(spark, root, str(tmp_path / "versions")).writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query = start()
     try:
         query.processAllAvailable()
         assert seen == [{("a.py", "insert"), ("b.py", "insert")}] and live.version == 1
@@ -25,6 +26,22 @@ def test_changes_and_live_index(spark, tmp_path):
         assert [tuple(r) for r in live.graph.dependency_pairs().collect()] == [("a.py", "c.py")]
     finally:
         query.stop()
+    before = len(seen)
+    make(root, {"d.py": "import a\n"})
+    query = start()  # goes on from its checkpoint
+    try:
+        query.processAllAvailable()
+        assert set().union(*seen[before:]) == {("d.py", "insert")} and len(os.listdir(tmp_path / "versions")) <= 3
+    finally:
+        query.stop()
+
+
+def test_large_batches_are_parted(tmp_path, monkeypatch):
+    monkeypatch.setattr(watch, "ROWS_A_TASK", 2)
+    reader = watch._Reader(make(tmp_path / "r", {f"{c}.py": "" for c in "abcde"}), str(tmp_path / "v"))
+    first = reader.initialOffset()
+    assert [len(p.rows) for p in reader.partitions(first, reader.latestOffset())] == [2, 2, 1]
+    assert reader.latestOffset() == {"version": 1} and [len(p.rows) for p in reader.partitions({"version": 1}, {"version": 1})] == [0]
 
 
 def test_bursts(spark):

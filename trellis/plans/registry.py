@@ -286,7 +286,13 @@ def context_files(spark, sf_dir):
     return rows.select("path", "language", *[F.array_join(c, ",").alias(c) for c in ("symbols", "depends_on", "dependents")])
 
 
-@_query()
+@_query(
+    f", terms as (select unnest(['steel', 'brand']) as term){_SCORES}, chosen as (select row_number() over (order by score desc, file_id) as rank, file_id from scored order by rank limit 10),"
+    " parts as (select rank, path, language, (select string_agg(name, ', ' order by symbol_id) from (select * from symbols s where s.file_id = files.file_id order by symbol_id limit 15)) as symbols,"
+    " (select string_agg(p, ', ' order by p) from (select distinct t.path as p from imports join files t on t.file_id = dst where src = files.file_id)) as depends_on,"
+    " (select string_agg(p, ', ' order by p) from (select distinct t.path as p from imports join files t on t.file_id = src where dst = files.file_id order by p limit 25)) as dependents from chosen join files using (file_id))"
+    " select rank, path, '- ' || path || ' [' || language || ']' || coalesce(' — symbols: ' || symbols, '') || coalesce(' — imports: ' || depends_on, '') || coalesce(' — imported by: ' || dependents, '') as line from parts"
+)
 def context_markdown(spark, sf_dir):
     g = workloads.graph(spark, sf_dir, True)
     return g.context_markdown(g.context(query="steel brand"))

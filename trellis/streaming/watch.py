@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,39 +18,66 @@ DEBOUNCE = "500 milliseconds"
 CHANGE = "path string, action string, mtime_ns bigint, size bigint"
 
 
+#: Changes in one task of a batch.
+ROWS_A_TASK = 10_000
+
+
 class _Span(InputPartition):
     def __init__(self, rows: list[tuple]):
         self.rows = rows
 
 
 class _Reader(DataSourceStreamReader):
-    """Offsets are whole snapshots, so an in-place edit and a deletion are changes like a new file."""
+    """Offsets are versions; a version's listing is a file in `folder`, so an in-place edit and a deletion are changes
+    like a new file, and offsets stay small. Listings before the last committed version are deleted."""
+
+    def __init__(self, root: str, folder: str):
+        self.root, self.folder = root, folder
+        os.makedirs(folder, exist_ok=True)
+
+    def _file(self, version: int) -> str:
+        return os.path.join(self.folder, f"{version}.json")
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in os.listdir(self.folder) if n.removesuffix(".json").isdigit())
 
-    def __init__(self, root: str):
-        self.root = root
+    def _listing(self, version: int) -> dict:
+        if not version:
+            return {}
+        with open(self._file(version), encoding="utf-8") as f:
+            return json.load(f)
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"files": "{}"}
+        return {"version": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
         files = {path: [mtime, size] for path, _, mtime, size in repo.list_files(self.root) if not is_own(path)}
-        return {"files": json.dumps(files, sort_keys=True)}
+        last = max(self._versions(), default=0)
+        if files == self._listing(last):
+            return {"version": last}
+        temp = os.path.join(self.folder, "next")
+        with open(temp, "w", encoding="utf-8") as f:
+            json.dump(files, f)
+        os.replace(temp, self._file(last + 1))
+        return {"version": last + 1}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        old, new = json.loads(start["files"]), json.loads(end["files"])
+        old, new = self._listing(start["version"]), self._listing(end["version"])
         rows = [(p, "insert" if p not in old else "update", *v) for p, v in new.items() if old.get(p) != v]
-        rows += [(p, "delete", 0, 0) for p in old if p not in new]
-        return [_Span(sorted(rows))]
+        rows = sorted([*rows, *[(p, "delete", 0, 0) for p in old if p not in new]])
+        return [_Span(rows[i : i + ROWS_A_TASK]) for i in range(0, len(rows), ROWS_A_TASK)] or [_Span([])]
 
     def read(self, partition: _Span) -> Iterator[tuple]:
         yield from partition.rows
 
     def commit(self, end: dict) -> None:
-        pass
+        for version in self._versions():
+            if version < end["version"]:
+                os.remove(self._file(version))
 
 
 class RepoChanges(DataSource):
-    """spark.readStream.format("repo_changes").load(root)"""
+    """spark.readStream.format("repo_changes").option("listings", folder).load(root)"""
 
     @classmethod
     def name(cls) -> str:
@@ -59,16 +87,19 @@ class RepoChanges(DataSource):
         return CHANGE
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
-        return _Reader(self.options["path"])
+        root = self.options["path"]
+        return _Reader(root, self.options.get("listings", os.path.join(root, ".trellis", "listings")))
 
 
 def is_own(path: str) -> bool:
     return any(part in IGNORED for part in path.split("/"))
 
 
-def changes(spark: SparkSession, root: str) -> DataFrame:
+def changes(spark: SparkSession, root: str, listings: str | None = None) -> DataFrame:
+    """listings: where versions are kept; a stream of its own each, and the same again for a stream that goes on."""
     spark.dataSource.register(RepoChanges)
-    return spark.readStream.format("repo_changes").load(root)
+    reader = spark.readStream.format("repo_changes")
+    return (reader.option("listings", listings) if listings else reader).load(root)
 
 
 class LiveIndex:
@@ -94,7 +125,7 @@ class LiveIndex:
                 materialize.remove(self.spark, path)
 
     def start(self, checkpoint: str, interval: str = DEBOUNCE):
-        return changes(self.spark, self.root).writeStream.foreachBatch(self.refresh).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+        return changes(self.spark, self.root, os.path.join(checkpoint, "listings")).writeStream.foreachBatch(self.refresh).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
 def bursts(events: DataFrame, by: str, at: str, gap: str = DEBOUNCE, late: str = "10 minutes") -> DataFrame:
