@@ -182,6 +182,19 @@ def test_empty_tables(spark, tmp_path):
         assert query(spark, sf).count() == 0, name
 
 
+def test_op2_sql(small, spark):
+    import duckdb
+
+    from trellis.llm.oracles import ORACLES
+
+    sf, *_ = small
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{sf}/pages.parquet/*.parquet'")
+    columns = ("page_id", "host", "path", "rule", "verdict")
+    want = sorted(con.execute(f"select {', '.join(columns)} from ({ORACLES['op2_url_filter']})").fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in run(spark, "op2_url_filter", sf)) == want
+
+
 def test_op1_sql(small, spark):
     import duckdb
 

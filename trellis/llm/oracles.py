@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from trellis.llm import license_scan, line_dedup, quality
+import math
+
+from trellis.llm import license_scan, line_dedup, quality, url_filter
 
 _LINES = r"""
 select doc_id, raw, trim(line, e' \t\n\x0b\f\r') as line
@@ -30,6 +32,29 @@ select doc_id, coalesce(list_sum(list_transform(runs, lambda r: r.b - r.a)), 0):
 from t
 """
 
+_RULES = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in url_filter.RULES)
+_ROUNDS = url_filter.ROUNDS_A_STEP * math.ceil(math.log(url_filter.TOLERANCE) / math.log(url_filter.DAMPING) / url_filter.ROUNDS_A_STEP)
+
+#: Both ranks as sums over rounds of what arrives, by recursion over the host edges.
+OP2 = rf"""
+with recursive rules(rule, h, start, verdict) as (values {_RULES}),
+u as (select page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+p as materialized (select u.*, (select struct_pack(rule := arg_max(rule, length(rule)), verdict := arg_max(verdict, length(rule))) from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, start)) as hit from u),
+hosts as materialized (select host, count(*) as pages, count(*) filter (where hit.verdict = 'allow') as good, count(*) filter (where hit.verdict = 'block') as bad from p where host <> '' group by 1),
+links as (select host as src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst from p where host <> '' and html is not null),
+parts as (select string_split(host, '.') as l from hosts),
+up as (select array_to_string(l[k:], '.') as src, array_to_string(l[k + 1:], '.') as dst from (select l, unnest(range(1, len(l) - 1)) as k from parts)),
+edges as (select src, dst, sum(n) as n from (select src, dst, count(*) as n from links where src <> dst group by all union all select src, dst, 1 from (select src, dst from up union select dst, src from up)) group by all),
+both_ways as (select 0 as way, src, dst, n from edges union all select 1, dst, src, n from edges),
+steps as materialized (select way, src, dst, n / sum(n) over (partition by way, src) as share from both_ways),
+seeds as (select 0 as way, host, good / pages as w from hosts where good > 0 union all select 1, host, bad / pages from hosts where bad > 0),
+walk(i, way, host, moved) as (select 0, way, host, w / sum(w) over (partition by way) from seeds
+  union all select i + 1, s.way, s.dst, sum(moved * share) * {url_filter.DAMPING} from walk join steps s on s.way = walk.way and s.src = walk.host where i < {_ROUNDS} group by i, s.way, s.dst),
+scores as (select host, coalesce(sum(moved) filter (where way = 0), 0) as trust, coalesce(sum(moved) filter (where way = 1), 0) as distrust from walk group by 1)
+select page_id, p.host, path, hit.rule as rule, coalesce(hit.verdict, case when trust + distrust > 0 and distrust >= {url_filter.THRESHOLD} * (trust + distrust) then 'block' else 'allow' end) as verdict
+from p left join scores on scores.host = p.host
+"""
+
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TOKENS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -100,4 +125,4 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_bas
 from d left join b on b.doc_id = d.doc_id left join f on f.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op3_decontaminate": OP3, "op5_license_scan": OP5, "op7_quality": OP7, "op8_near_dedup": OP8, "op9_warc": OP9}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op3_decontaminate": OP3, "op5_license_scan": OP5, "op7_quality": OP7, "op8_near_dedup": OP8, "op9_warc": OP9}
