@@ -53,6 +53,18 @@ def test_communities_and_hub(spark, bridged):
     assert (stats["imports"], stats["heuristic_imports"], stats["calls"], stats["heuristic_calls"], stats["communities"], stats["hubs"]) == (11, 1, 2, 1, 3, 1)
 
 
+def test_hub_in_audit_and_guard(spark):
+    """The mail files form a circle; the clock bridges three communities, which three imports alone would not show."""
+    g = graph(spark, [*BRIDGED, "alone.go"], LINKS, broken=[2])
+    row = analytics.audit(g).first().asDict()
+    assert row == {"cycle_count": 1, "broken_count": 1, "hub_count": 1, "isolated_count": 1, "problem_count": 2, "smell_count": 2, "clean": False}
+    rows = [r.asDict() for r in analytics.guard_decisions(g).collect()]
+    assert rows == [{"file": "shared/clock.go", "in_degree": 3, "is_hub": True, "decision": "ask", "reason": "bridges 3 parts; imported by 3"}]
+    assert {r["file"] for r in analytics.guard_decisions(g, override=2).collect()} == {"shared/clock.go", "cart/total.go"}
+    cycle = g.import_cycles().first()
+    assert cycle["path"] == ["mail/queue.go", "mail/retry.go", "mail/send.go"] and cycle["size"] == 3
+
+
 def test_neighbourhoods(bridged):
     assert column(bridged.subgraph("cart/item.go", 1)[0], "file") == ["cart/item.go", "cart/price.go", "cart/total.go", "shared/clock.go"]
     assert column(bridged.subgraph("cart/item.go", 0)[0], "file") == ["cart/item.go"]

@@ -19,9 +19,9 @@ VERSION = 1
 TABLES = ("files", "symbols", "imports", "calls", "diagnostics")
 
 
-def build(extractions: DataFrame, read: Callable[[str], str | None] = lambda path: None) -> CodeGraph:
-    """Extractions -> graph. Files are numbered by path, symbols by file and place."""
-    extractions = cut(extractions, "extractions")
+def build(extractions: DataFrame, read: Callable[[str], str | None] = lambda path: None, written: bool = False) -> CodeGraph:
+    """Extractions -> graph. Files are numbered by path, symbols by file and place. written: extractions are a step."""
+    extractions = extractions if written else cut(extractions, "extractions")
     files = cut(kernels.dense_ids(extractions.select("path", "language", "content_hash", "package"), ["path"], "file_id"), "files")
     ids = files.select("path", "file_id")
     listed = extractions.join(ids, "path")
@@ -64,7 +64,7 @@ def index(spark: SparkSession, root: str, cached: DataFrame | None = None, graph
         return graph, cached
     extractions = cut(extract.extract(repo.walk(spark, rows), cached), "extractions")
     times["extract"] = time.perf_counter() - began - times["walk"]
-    made = build(extractions, reader(root))
+    made = build(extractions, reader(root), written=True)
     made.listing = listing
     times["resolve"] = time.perf_counter() - began - times["walk"] - times["extract"]
     return made, extractions
