@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trellis import schema
 from trellis.operators import kernels
@@ -293,3 +294,13 @@ def test_louvain_weighs_few_nodes():
     taken, began = time.process_time() - began, time.process_time()
     assert got.tolist() == plain_louvain(n, links)
     assert taken < time.process_time() - began
+
+
+def test_large_parts_are_dealt_apart(spark):
+    """Eight equal parts in eight tasks, where hashes would put some together; small parts stay whole."""
+    nodes = [(100 * c + i, 100 * c) for c in range(8) for i in range(20)] + [(10_000 + i, 10_000 + i // 2 * 2) for i in range(20)]
+    parts = spark.createDataFrame(nodes, "node long, component long")
+    rows = kernels.dealt(parts, parts, 8).withColumn("p", F.spark_partition_id()).groupBy("component").agg(F.collect_set("p").alias("p"), F.count("*").alias("n")).collect()
+    at = {r["component"]: r["p"] for r in rows}
+    assert len(at) == 18 and sum(r["n"] for r in rows) == len(nodes) and all(len(p) == 1 for p in at.values())
+    assert len({at[100 * c][0] for c in range(8)}) == 8
