@@ -304,3 +304,29 @@ def test_large_parts_are_dealt_apart(spark):
     at = {r["component"]: r["p"] for r in rows}
     assert len(at) == 18 and sum(r["n"] for r in rows) == len(nodes) and all(len(p) == 1 for p in at.values())
     assert len({at[100 * c][0] for c in range(8)}) == 8
+
+
+def test_parts_are_found_on_few_links(spark, monkeypatch):
+    """Communities look for connected parts on some links a file, however dense the imports are; one table of pairs
+    serves all that is asked of a graph."""
+    met, plain = [], kernels._components
+    monkeypatch.setattr(kernels, "_components", lambda links: (met.append(links.count()), plain(links))[1])
+    links = [(a, b) for a in range(120) for b in range(a)] + [(a, b) for a in range(200, 203) for b in range(200, 203)]
+    g = graph(spark, [f"{i}.rs" for i in range(210)], [*links, (1, 0)])
+    found = {r["file_id"]: r["community"] for r in g.communities.collect()}
+    assert len(set(found.values())) == 89 and len({found[i] for i in range(120)}) == 1 and found[200] == found[202] != found[0]
+    assert met[0] <= 2 * 121 * g.pairs.rdd.getNumPartitions() < 7000
+    assert {(r["src"], r["dst"]): r["w"] for r in g.pairs.where("w > 1 or src = dst").collect()} == {(0, 1): 2, **{(a, b): 1 + (a != b) for a in range(200, 203) for b in range(a, 203)}}
+    want = {r["file_id"]: r["degree"] for r in g.degrees.collect()}
+    assert {r["file_id"]: r["degree"] for r in kernels.pair_degrees(g.pairs).collect()} == want
+
+
+def test_stars():
+    """Portions folded one after the other connect what all links connect; the smallest node is each part's middle."""
+    rng = random.Random(4)
+    links = np.array([(rng.randrange(300), rng.randrange(300)) for _ in range(160)])
+    links = links[links[:, 0] != links[:, 1]]
+    a, b = kernels._stars(*links[:80].T)
+    a, b = kernels._stars(np.concatenate([a, links[80:, 0]]), np.concatenate([b, links[80:, 1]]))
+    both = reach(300, [*links.tolist(), *links[:, ::-1].tolist()])
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {i: min(both[i]) for i in range(300) if min(both[i]) != i}
