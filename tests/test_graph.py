@@ -330,3 +330,10 @@ def test_stars():
     a, b = kernels._stars(np.concatenate([a, links[80:, 0]]), np.concatenate([b, links[80:, 1]]))
     both = reach(300, [*links.tolist(), *links[:, ::-1].tolist()])
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {i: min(both[i]) for i in range(300) if min(both[i]) != i}
+
+
+def test_nodes_take_degrees_from_pairs(spark):
+    """Files on a map have the degrees that imports give, counted on the pairs that communities wrote."""
+    g = graph(spark, BRIDGED, [*LINKS, (7, 8, "Heuristic"), (8, 7), (2, 2)])
+    got = {r["id"]: r["degree"] for r in g.graph_nodes().collect()}
+    assert "degrees" not in g.__dict__ and got == {BRIDGED[i]: n for i, n in {**{r["file_id"]: r["degree"] for r in g.degrees.collect()}}.items()}
