@@ -337,3 +337,10 @@ def test_nodes_take_degrees_from_pairs(spark):
     g = graph(spark, BRIDGED, [*LINKS, (7, 8, "Heuristic"), (8, 7), (2, 2)])
     got = {r["id"]: r["degree"] for r in g.graph_nodes().collect()}
     assert "degrees" not in g.__dict__ and got == {BRIDGED[i]: n for i, n in {**{r["file_id"]: r["degree"] for r in g.degrees.collect()}}.items()}
+
+
+def test_guard_counts_imports_once(spark, bridged, monkeypatch):
+    calls, plain = [], analytics.in_degrees
+    monkeypatch.setattr(analytics, "in_degrees", lambda g: (calls.append(g), plain(g))[1])
+    assert analytics.guard_decisions(bridged, override=2).count() and len(analytics.guard_decisions(bridged).collect()) == 1
+    assert len(calls) == 2  # one for each of the two queries, though both need a threshold or rows
