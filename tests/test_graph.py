@@ -344,3 +344,10 @@ def test_guard_counts_imports_once(spark, bridged, monkeypatch):
     monkeypatch.setattr(analytics, "in_degrees", lambda g: (calls.append(g), plain(g))[1])
     assert analytics.guard_decisions(bridged, override=2).count() and len(analytics.guard_decisions(bridged).collect()) == 1
     assert len(calls) == 2  # one for each of the two queries, though both need a threshold or rows
+
+
+def test_legend_reads_written_nodes(spark, bridged):
+    """Groups and the hubs' row are counted on one written table of nodes."""
+    rows = analytics.legend_of(bridged, "community")
+    assert [tuple(r) for r in rows.collect()] == [("cart", 3, False), ("mail", 3, False), ("page", 3, False), ("shared (hubs)", 1, True)]
+    assert all("-legend/" in f for f in rows.inputFiles())
