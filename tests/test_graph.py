@@ -351,3 +351,36 @@ def test_legend_reads_written_nodes(spark, bridged):
     rows = analytics.legend_of(bridged, "community")
     assert [tuple(r) for r in rows.collect()] == [("cart", 3, False), ("mail", 3, False), ("page", 3, False), ("shared (hubs)", 1, True)]
     assert all("-legend/" in f for f in rows.inputFiles())
+
+
+def test_strong_components_are_folded_first(spark, monkeypatch):
+    """Tasks find components among their own edges, batch by batch; rounds and the last task meet what is left."""
+    met, plain = [], kernels._strong_components
+    monkeypatch.setattr(kernels, "_strong_components", lambda todo, most: (met.append(todo.count()), plain(todo, most))[1])
+    rng = random.Random(1)
+    links = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(90)) if a != b]
+    links += [(100 + a, 100 + b) for a in range(20) for b in range(20) if a != b] + [(119, 0), (1, 200), (200, 201)]
+    to = reach(210, links)
+    want = {i: min(j for j in to[i] if i in to[j]) for i in {x for link in links for x in link}}
+    sizes = Counter(want.values())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        got = {r["node"]: r["scc"] for r in kernels.strong_components(spark.createDataFrame(links, "src long, dst long"), local_edges=90).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: c for i, c in want.items() if sizes[c] > 1}
+    assert met[0] < len(set(links)) - 300
+    line = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 2)], "src long, dst long")
+    assert kernels.strong_components(line, local_edges=3).count() == 0
+
+
+def test_audit_counts_without_paths(spark, monkeypatch):
+    """Cycles, self-imports too, and hubs are counted as before, without cycles' paths or degrees; imports are written once."""
+    names, links = [*BRIDGED, "self.go", "alone.go"], [*LINKS, (3, 2), (9, 9), (8, 7, "Heuristic"), (7, 8)]
+    plain = graph(spark, names, links, broken=[2])
+    want = {"cycle_count": plain.import_cycles().count(), "hub_count": plain.hubs().count(), "isolated_count": plain.isolated_files().count(), "broken_count": 1}
+    monkeypatch.setattr(kernels, "cycle_paths", None)
+    g = graph(spark, names, links, broken=[2])
+    row = analytics.audit(g).first().asDict()
+    assert {k: row[k] for k in want} == want == {"cycle_count": 4, "hub_count": 1, "isolated_count": 1, "broken_count": 1}
+    assert "degrees" not in g.__dict__ and all("-imports/" in f for f in g.edges.inputFiles())
