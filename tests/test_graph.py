@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trellis import schema
 from trellis.operators import kernels
-from trellis.plans import analytics
+from trellis.plans import analytics, workloads
 from trellis.plans.codegraph import CodeGraph
 
 #: Two triangles and a pair of files, each with one link to `shared/clock.go`.
@@ -384,3 +384,12 @@ def test_audit_counts_without_paths(spark, monkeypatch):
     row = analytics.audit(g).first().asDict()
     assert {k: row[k] for k in want} == want == {"cycle_count": 4, "hub_count": 1, "isolated_count": 1, "broken_count": 1}
     assert "degrees" not in g.__dict__ and all("-imports/" in f for f in g.edges.inputFiles())
+
+
+def test_symbols_are_written_once(spark):
+    """Ids are added as the numbered rows are read, without a second table or a join."""
+    rows = kernels.dense_ids(spark.range(50, 0, -1).repartition(3), ["id"], "n", 1)
+    assert {r["id"]: r["n"] for r in rows.collect()} == {i: i for i in range(1, 51)}
+    assert "Join" not in rows._jdf.queryExecution().toString() and kernels.dense_ids(spark.range(0), ["id"], "n").count() == 0
+    named = workloads.graph(spark, "/root/testdata/sf0.001", True).symbols
+    assert all("-numbered/" in f for f in named.inputFiles())
