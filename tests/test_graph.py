@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellis import schema
-from trellis.operators import kernels
+from trellis.operators import jvm, kernels
 from trellis.plans import analytics, workloads
 from trellis.plans.codegraph import CodeGraph
 
@@ -393,3 +393,38 @@ def test_symbols_are_written_once(spark):
     assert "Join" not in rows._jdf.queryExecution().toString() and kernels.dense_ids(spark.range(0), ["id"], "n").count() == 0
     named = workloads.graph(spark, "/root/testdata/sf0.001", True).symbols
     assert all("-numbered/" in f for f in named.inputFiles())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_louvain_in_the_jvm(spark, seed, monkeypatch):
+    """The JVM's loops give what kernels.louvain gives: ties, weights, several parts, and with a larger graph's total."""
+    rng = random.Random(seed)
+    rows = [(c * 1000 + rng.randrange(n), c * 1000 + rng.randrange(n)) for c, n in enumerate((3, 40, 300, 600)) for _ in range((2 + seed) * n)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    files = spark.range(4000).withColumnRenamed("id", "file_id")
+    assert jvm.louvain(spark) is not None
+    made = []
+    for most in (kernels.JVM_LINKS, 100, 0):  # all, small parts, none
+        monkeypatch.setattr(kernels, "JVM_LINKS", most)
+        made.append(dict(map(tuple, kernels.communities(files, edges).collect())))
+    assert made[0] == made[1] == made[2] and len(made[0]) == 4000
+    links = kernels._Level(600, *(np.array(x) for x in zip(*[(a - 3000, b - 3000, 1.0) for x in rows if x[0] >= 3000 and x[0] != x[1] for a, b in (x, x[::-1])])))
+    parts = [bytearray(x.astype(t).tobytes()) for x, t in ((links.starts, "<i4"), (links.others, "<i4"), (links.weights, "<f8"))]
+    row = spark.createDataFrame([tuple(parts)], "a binary, b binary, c binary")
+    for total in (links.weights.sum(), 7.5 * links.weights.sum(), 60 * links.weights.sum()):
+        found = row.select(jvm.louvain(spark)(F.col("a"), F.col("b"), F.col("c"), F.lit(float(total)))).first()[0]
+        assert np.frombuffer(found, "<i4").tolist() == kernels.louvain(np.arange(600), links.owners, links.others, links.weights, total).tolist()
+
+
+def test_lines_are_joined_by_hash(spark, tmp_path, monkeypatch):
+    """Lines meet the next ones of their order without a sort, in as many parts as their number asks for; repeated and
+    null keys as in a plain join."""
+    rows = [(1, 1, 5), (1, 2, 6), (1, 2, 7), (1, 3, 8), (2, 1, 5), (None, 1, 5), (None, 2, 6), (3, None, 5), (3, 1, None), (3, 2, 9)]
+    lines = spark.createDataFrame([(*r, 0, "R") for r in rows], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(workloads, "JOIN_ROWS", 3)
+    got = workloads.imports(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan and plan.count(", 4), REPARTITION_BY_NUM") == 2
+    want = [(a[2], b[2]) for a in rows for b in rows if None not in (a[0], a[1], b[0], b[1]) and a[0] == b[0] and b[1] == a[1] + 1]
+    assert Counter((r["src"], r["dst"]) for r in got.collect()) == Counter(want)
