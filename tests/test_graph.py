@@ -428,3 +428,33 @@ def test_lines_are_joined_by_hash(spark, tmp_path, monkeypatch):
     assert "ShuffledHashJoin" in plan and "Sort" not in plan and plan.count(", 4), REPARTITION_BY_NUM") == 2
     want = [(a[2], b[2]) for a in rows for b in rows if None not in (a[0], a[1], b[0], b[1]) and a[0] == b[0] and b[1] == a[1] + 1]
     assert Counter((r["src"], r["dst"]) for r in got.collect()) == Counter(want)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_parts_say_all_of_their_files(spark, monkeypatch, few):
+    """Bridges, degrees, in-degrees and cycles come with communities from one pass over imports that are written once:
+    with parallel, null and self-imports, an unknown file, and where parts are too large for the JVM or a broadcast."""
+    if few:
+        for name in ("JVM_LINKS", "LOCAL_LINKS", "BROADCAST_NODES"):
+            monkeypatch.setattr(kernels, name, 20)
+    rng = random.Random(6)
+    links = [(100 * c + rng.randrange(n), 100 * c + rng.randrange(n)) for c, n in enumerate((40, 30, 20, 3)) for _ in range(5 * n // 3)]
+    links += [links[0]] * 3 + [(None, 5), (7, None), (50, 50), (1, 500), (2, 500), (500, 3)]
+    files = spark.range(330).select(F.col("id").alias("file_id"), F.concat(F.lit("f"), "id").alias("path"), F.lit("x").alias("language"))
+    edges = spark.createDataFrame([(*x, "Resolved", i) for i, x in enumerate(links)], "src long, dst long, confidence string, seq long")
+    g = CodeGraph(files, spark.createDataFrame([], schema.SYMBOLS), edges, spark.createDataFrame([], schema.CALLS), spark.createDataFrame([], schema.DIAGNOSTICS))
+    home, near, came, ends = dict(map(tuple, g.communities.collect())), {}, Counter(), Counter()
+    for a, b in links:
+        came[b] += 1
+        if a is not None and b is not None:
+            ends.update((a, b))
+            if a != b:
+                near.setdefault(a, set()).update({home[b]} if b in home else ())
+                near.setdefault(b, set()).update({home[a]} if a in home else ())
+    assert {r["file_id"]: r["bridged"] for r in g.bridges.collect()} == {i: len(x) for i, x in near.items() if len(x) >= 3} and max(map(len, near.values())) > 2
+    assert {r["file_id"]: r["degree"] for r in g.link_degrees.collect()} == ends
+    assert {r["file_id"]: r["in_degree"] for r in g.in_degrees.collect() if r["file_id"] is not None} == {i: n for i, n in came.items() if i is not None} | {i: 0 for i in near if not came[i]}
+    assert all("-placed/" in f or "-imports/" in f for f in g.in_degrees.inputFiles())
+    plain = CodeGraph(files, g.symbols, edges, g.calls, g.diagnostics)
+    assert g.cycles().count() == plain.cycle_members().select("scc").distinct().count() > 3
+    assert {r["scc"] for r in g.placed.select("scc").distinct().collect()} >= ({None} if few else set())
