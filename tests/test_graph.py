@@ -458,3 +458,19 @@ def test_parts_say_all_of_their_files(spark, monkeypatch, few):
     plain = CodeGraph(files, g.symbols, edges, g.calls, g.diagnostics)
     assert g.cycles().count() == plain.cycle_members().select("scc").distinct().count() > 3
     assert {r["scc"] for r in g.placed.select("scc").distinct().collect()} >= ({None} if few else set())
+
+
+def test_stats_count_calls_without_ids(spark, tmp_path, monkeypatch):
+    """What graph_stats counts under names is what numbered symbols and resolved calls give: shared, unique and own names,
+    negative and null orders, several parts; neighbouring lines are read from one table."""
+    rng = random.Random(8)
+    one = lambda: (rng.choice([None, -999, -3, -2, *range(1, 60), *range(998, 1040)]), rng.randrange(1, 5), rng.choice([None, *range(12)]), rng.choice([None, *range(9)]), rng.choice("RA"))
+    rows = [one() for _ in range(600)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(12).select(F.col("id").alias("p_partkey"), F.lit("T").alias("p_type"), F.lit("B#1").alias("p_brand"), F.lit("n").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(workloads, "JOIN_ROWS", 100)
+    want = workloads.graph(spark, str(tmp_path), True).graph_stats().first().asDict()
+    g, counted = workloads.counted(spark, str(tmp_path))
+    assert g.graph_stats(counted).first().asDict() == want and want["calls"] > want["heuristic_calls"] > 0
+    assert all("-imports/" in f for f in g.links.inputFiles())
