@@ -474,3 +474,31 @@ def test_stats_count_calls_without_ids(spark, tmp_path, monkeypatch):
     g, counted = workloads.counted(spark, str(tmp_path))
     assert g.graph_stats(counted).first().asDict() == want and want["calls"] > want["heuristic_calls"] > 0
     assert all("-imports/" in f for f in g.links.inputFiles())
+
+
+@pytest.mark.parametrize("most", [10, 10_000_000])
+def test_parts_are_sent_as_bytes(spark, monkeypatch, most):
+    """Links of parts that a broadcast takes go to their partition as bytes, few rows a task; portions, parallel and
+    directed links, unknown and unlinked files, and parts too large for the JVM give what rows by row give."""
+    rng = random.Random(9)
+    links = [(1000 * c + rng.randrange(n), 1000 * c + rng.randrange(n)) for c, n in enumerate((60, 40, 30, 3, 2)) for _ in range(3 * n)]
+    links += [links[0]] * 3 + [(4000, 4001), (4001, 4000), (50, 50), (2, 999), (999, 1), (-7, 1005)]
+    edges = spark.createDataFrame(links, "src long, dst long").repartition(3)
+    files = spark.createDataFrame([(i,) for i in range(4500) if i % 11], "file_id int")
+    monkeypatch.setattr(kernels, "JVM_LINKS", most)
+    monkeypatch.setattr(kernels, "BROADCAST_NODES", 0)
+    want = {tuple(r) for r in kernels.placed(files, edges).collect()}
+    monkeypatch.setattr(kernels, "BROADCAST_NODES", 1000)
+    monkeypatch.setattr(kernels, "STAR_LINKS", 50)
+    sent, plain = [], kernels._packed
+    monkeypatch.setattr(kernels, "_packed", lambda *args: (sent.append(args[3]), plain(*args))[1])
+    got = kernels.placed(files, edges).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want) > 100 and len(sent) == 1
+    empty = kernels.placed(files, edges.where("src = dst"))
+    assert empty.isEmpty()
+
+
+def test_partitions_take_whole_parts():
+    component = np.repeat([0, 100, 200, 300, 500, 501], [40, 40, 40, 40, 1, 2])
+    share = kernels._shares(component, 4)
+    assert len({share[component == c][0] for c in (0, 100, 200, 300)}) == 4 and all(len(set(share[component == c])) == 1 for c in component)
