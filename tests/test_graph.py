@@ -502,3 +502,13 @@ def test_partitions_take_whole_parts():
     component = np.repeat([0, 100, 200, 300, 500, 501], [40, 40, 40, 40, 1, 2])
     share = kernels._shares(component, 4)
     assert len({share[component == c][0] for c in (0, 100, 200, 300)}) == 4 and all(len(set(share[component == c])) == 1 for c in component)
+
+
+def test_equal_rows_are_numbered_once(spark):
+    """Rows are dealt once, in order, and made distinct where they lie; nulls count as one value, as in distinct()."""
+    rng = random.Random(10)
+    rows = [(rng.choice([None, *range(9)]), rng.choice([None, *"abc"])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "x long, y string").repartition(3)
+    got = kernels.dense_ids(df, ["x", "y"], "id", 1, 5).collect()
+    order = sorted(set(rows), key=lambda r: [(v is not None, v) for v in r])
+    assert {(r["x"], r["y"]): r["id"] for r in got} == {r: i + 1 for i, r in enumerate(order)} and len(got) == len(order)
