@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trellis import schema
 from trellis.operators import jvm, kernels
-from trellis.plans import analytics, workloads
+from trellis.plans import analytics, codegraph, workloads
 from trellis.plans.codegraph import CodeGraph
 
 #: Two triangles and a pair of files, each with one link to `shared/clock.go`.
@@ -512,3 +512,38 @@ def test_equal_rows_are_numbered_once(spark):
     got = kernels.dense_ids(df, ["x", "y"], "id", 1, 5).collect()
     order = sorted(set(rows), key=lambda r: [(v is not None, v) for v in r])
     assert {(r["x"], r["y"]): r["id"] for r in got} == {r: i + 1 for i, r in enumerate(order)} and len(got) == len(order)
+
+
+@pytest.mark.parametrize("first", [0, 1000])
+def test_community_and_legend_without_numbering(spark, monkeypatch, first):
+    """One community and the legend say what numbered communities of all files give, without numbering these."""
+    rng = random.Random(11)
+    links = [(20 * c + rng.randrange(n), 20 * c + rng.randrange(n)) for c, n in enumerate((15, 12, 9)) for _ in range(3 * n)]
+    links += [(50, 50), (58, 58), (58, 58), (None, 3), (3, None), (3, 99)]
+    files = spark.createDataFrame([(i, f"d{i % 4}/f{i}" if i and i % 5 else f"f{i}", "x") for i in (None, *range(2, 60))], "file_id long, path string, language string")
+    edges = spark.createDataFrame([(*x, "Resolved", i) for i, x in enumerate(links)], "src long, dst long, confidence string, seq long")
+    make = lambda: CodeGraph(files, spark.createDataFrame([], schema.SYMBOLS), edges, spark.createDataFrame([], schema.CALLS), spark.createDataFrame([], schema.DIAGNOSTICS))
+    nodes = make().graph_nodes().collect()
+    groups = {}
+    for r in nodes:
+        groups.setdefault(r["group"], []).append(r)
+    hubs = sum(r["is_hub"] for r in nodes)
+    assert len(nodes) == 58 and max(map(len, groups.values())) > 3
+    name = lambda r: r["id"].split("/")[0]
+    want = sorted(((name(min(rs, key=lambda r: (-r["degree"], r["id"]))), len(rs), False) for rs in groups.values()), key=lambda x: (-x[1], x[0]))
+    want += [("shared (hubs)", hubs, True)] if hubs else []
+    monkeypatch.setattr(codegraph, "FIRST_COMMUNITIES", first)
+    monkeypatch.setattr(kernels, "numbered", None)
+    g = make()
+    assert [tuple(r) for r in analytics.legend_of(g, "community").collect()] == want
+    for number in (0, 1, len(groups) - 1):
+        assert [tuple(r) for r in g.community(number).collect()] == sorted((r["id"], r["is_hub"]) for r in groups[number])
+    assert g.community(len(groups)) is None and g.community(-1) is None
+
+
+def test_places():
+    """Where values stand in sorted nodes, -1 for others: dense and spread ids, values beyond both ends."""
+    for nodes in ([5], [-3, -2, 0, 1, 7], [-(1 << 62), 0, 9, 1 << 62]):
+        values = [-(1 << 63), (1 << 63) - 1, -4, 8, *nodes, *[n + 1 for n in nodes], *[n - 1 for n in nodes]]
+        got = kernels._places(np.array(nodes))(np.array(values))
+        assert got.tolist() == [nodes.index(v) if v in nodes else -1 for v in values]
